@@ -9,9 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, TimestampNTZType
 
-from tallymart.operators import cleaning, insights, warehouse
+from tallymart.operators import (
+    affinity,
+    boosted,
+    calendar,
+    cleaning,
+    clusters,
+    clv,
+    demand,
+    evaluation,
+    features,
+    forecasting,
+    insights,
+    propensity,
+    rfm,
+    serving,
+    warehouse,
+)
 from tallymart.operators.warehouse import Warehouse
-from tallymart.sources import driver_tables
+from tallymart.plans import customers
+from tallymart.session import stage_table
+from tallymart.sources import driver_tables, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = driver_tables.test_table_config()
@@ -150,11 +168,303 @@ def _report_queries() -> dict[str, Query]:
     }
 
 
+def _history_parts(spark, d):
+    return stage_table(demand.weekly_demand(star(spark, d).fact_order_items, CONFIG.top_n), "panel")
+
+
+def _demand_queries() -> dict[str, Query]:
+    baselines = ["naive", "seasonal_naive", "moving_avg_4"]
+
+    def panel(spark, d):
+        return demand.weekly_demand(star(spark, d).fact_order_items, CONFIG.top_n)
+
+    def weekly_demand_wide(spark, d):
+        # every brand, so the columns are known without asking the data
+        brands = [f"Brand#{i}" for i in range(1, 26)]
+        full = demand.weekly_demand(star(spark, d).fact_order_items, len(brands))
+        named = {b: b.lower().replace("#", "_") for b in brands}
+        return show(demand.wide(full, brands).fillna(0.0).withColumnsRenamed(named))
+
+    def calendar_features(spark, d):
+        return show(calendar.calendar_features(panel(spark, d).select("week").distinct()))
+
+    def supervised_features(spark, d):
+        return show(demand.supervised(_history_parts(spark, d)), 6)
+
+    def one_model(model, digits):
+        def run(spark, d):
+            fc = forecasting.forecast_all(_history_parts(spark, d), CONFIG.horizon, [0], [model])
+            return show(fc.select("series", "week", "h", "yhat"), digits)
+        return run
+
+    def forecast_all(spark, d):
+        fc = forecasting.forecast_all(_history_parts(spark, d), CONFIG.horizon, range(4), baselines)
+        return show(fc, 6)
+
+    def tested(p):
+        return forecasting.backtest(p, CONFIG.horizon, CONFIG.n_folds, baselines)
+
+    def on_backtest(fn):
+        return lambda spark, d: show(fn(tested(_history_parts(spark, d))), 6)
+
+    def final(p):
+        ahead = forecasting.forecast_all(p, CONFIG.horizon, [0], baselines)
+        return evaluation.final_forecast(ahead, tested(p))
+
+    def forecast_lookup(spark, d):
+        p = _history_parts(spark, d)
+        by_series = evaluation.leaderboard(tested(p), ["series", "model"])
+        return show(evaluation.forecast_lookup(final(p), p, by_series), 6)
+
+    def with_panel(fn):
+        def run(spark, d):
+            p = _history_parts(spark, d)
+            return show(fn(final(p), p), 6)
+        return run
+
+    def boosted_config(panel, horizon, folds):
+        return boosted.boosted_forecasts(panel, horizon, folds, CONFIG)
+
+    def fc_gbt_global(spark, d):
+        fc = boosted_config(_history_parts(spark, d), CONFIG.horizon, [0])
+        return show(fc.select("series", "week", "h", "yhat"), 6)
+
+    def fc_ensemble(spark, d):
+        fc = forecasting.forecast_all(_history_parts(spark, d), CONFIG.horizon, [0], boosted=boosted_config)
+        ours = fc.where(F.col("model") == forecasting.ENSEMBLE)
+        return show(ours.select("series", "week", "h", "yhat"), 6)
+
+    def forecast_importance(spark, d):
+        return show(boosted.feature_importance(boosted.fit(_history_parts(spark, d), CONFIG)), 6)
+
+    return {
+        "weekly_demand": lambda spark, d: show(panel(spark, d)),
+        "weekly_demand_wide": weekly_demand_wide,
+        "calendar_features": calendar_features,
+        "supervised_features": supervised_features,
+        "fc_naive": one_model("naive", 6),
+        "fc_seasonal_naive": one_model("seasonal_naive", 6),
+        "fc_moving_avg": one_model("moving_avg_4", 6),
+        "fc_holt_damped": one_model("ets_damped", 4),
+        "fc_arima_111": one_model("arima_111", 4),
+        "fc_gbt_global": fc_gbt_global,
+        "fc_ensemble": fc_ensemble,
+        "forecast_importance": forecast_importance,
+        "forecast_all": forecast_all,
+        "backtest": on_backtest(lambda bt: bt),
+        "leaderboard": on_backtest(evaluation.leaderboard),
+        "leaderboard_by_series": on_backtest(lambda bt: evaluation.leaderboard(bt, ["series", "model"])),
+        "leaderboard_by_horizon": on_backtest(lambda bt: evaluation.error_by_horizon(bt, baselines)),
+        "best_models": on_backtest(evaluation.best_models),
+        "forecast_intervals": with_panel(lambda fc, p: fc),
+        "forecast_series": with_panel(lambda fc, p: evaluation.forecast_series(fc)),
+        "forecast_lookup": forecast_lookup,
+        "forecast_growth": with_panel(evaluation.forecast_growth),
+        "forecast_vs_actual_total": with_panel(
+            lambda fc, p: evaluation.forecast_against_actual(fc, p, CONFIG.horizon)
+        ),
+    }
+
+
+def _fixed_score(df: DataFrame) -> DataFrame:
+    """A fixed score in place of a fitted model, so that what is built on scores can be checked exactly."""
+    p = F.lit(1.0) / (1 + F.col("recency_days"))
+    return df.withColumn("p_repeat", p).withColumn("churn_risk", 1 - F.col("p_repeat"))
+
+
+def _customer_queries() -> dict[str, Query]:
+    clv_digits = 4
+
+    def features_now(spark, d):
+        return features.customer_features(star(spark, d).fact_orders, CONFIG)
+
+    def cutoff_days():
+        last = F.lit(TEST_CUTOFF)
+        return F.array(*propensity.train_cutoffs(last, CONFIG), last)
+
+    def customer_features_asof(spark, d):
+        w = star(spark, d)
+        df = features.customer_features(w.fact_orders, CONFIG, cutoff_days())
+        df = features.with_categories(df, w.fact_order_items, CONFIG, cutoff_days())
+        df = features.with_state_flags(df, CONFIG).drop("main_category")
+        df = features.log_columns(df.withColumn("log_monetary", F.col("monetary")), ["log_monetary"])
+        return show(df, 6, ("log_monetary",))
+
+    def main_category(spark, d):
+        return show(features.main_category(star(spark, d).fact_order_items, cutoff_days()))
+
+    def churn_labels(spark, d):
+        w = star(spark, d)
+        days = F.array(*propensity.train_cutoffs(propensity.test_cutoff(w.fact_orders, CONFIG), CONFIG),
+                       propensity.test_cutoff(w.fact_orders, CONFIG))
+        df = propensity.labelled(w.fact_orders, None, days, CONFIG)
+        return show(df.select("snapshot", "customer_unique_id", "recency_days", "frequency", "repeat"))
+
+    def judged(spark, d):
+        w = star(spark, d)
+        return _fixed_score(propensity.labelled(w.fact_orders, None, F.array(F.lit(TEST_CUTOFF)), CONFIG))
+
+    def churn_train(spark, d):
+        w = star(spark, d).staged("fact_orders")
+        done = propensity.train_and_evaluate(w.fact_orders, w.fact_order_items, CONFIG)
+        return show(done.metrics, 6)
+
+    def trained(spark, d):
+        w = star(spark, d).staged("fact_orders")
+        return w, propensity.train_and_evaluate(w.fact_orders, w.fact_order_items, CONFIG)
+
+    def churn_importance(spark, d):
+        return show(propensity.importance(trained(spark, d)[1].model, CONFIG), 6)
+
+    def churn_scores(spark, d):
+        w, done = trained(spark, d)
+        return show(propensity.score_customers(done.model, w.fact_orders, w.fact_order_items, CONFIG), 6)
+
+    def hypotheticals(spark, d):
+        feats = features_now(spark, d)
+        return feats.where(F.col("monetary") > 0).select("customer_unique_id", "recency_days", "frequency", "monetary")
+
+    def whatif_features(spark, d):
+        df = propensity.hypothetical_features(hypotheticals(spark, d), CONFIG)
+        return show(df.select(
+            "customer_unique_id", "recency_days", "frequency", "monetary", "tenure_days", "avg_order_value",
+            "n_categories", "freight_ratio", "avg_review", "credit_card_share", "is_sp",
+        ))
+
+    def whatif_scores(spark, d):
+        _, done = trained(spark, d)
+        return show(propensity.score_hypotheticals(done.model, hypotheticals(spark, d), CONFIG, done.best), 6)
+
+    def scored(spark, d):
+        return propensity.with_risk_band(_fixed_score(features_now(spark, d)))
+
+    def valued(spark, d):
+        w = star(spark, d)
+        cut = propensity.train_cutoffs(propensity.test_cutoff(w.fact_orders, CONFIG), CONFIG)[-1]
+        rate = clv.orders_per_repeater(w.fact_orders, cut, CONFIG).scalar()
+        return clv.clv(propensity.with_risk_band(_fixed_score(
+            features.customer_features(w.fact_orders, CONFIG))), rate, CONFIG)
+
+    def orders_per_repeater(spark, d):
+        cut = F.date_sub(F.lit(TEST_CUTOFF), CONFIG.window_days)
+        return show(clv.orders_per_repeater(star(spark, d).fact_orders, cut, CONFIG))
+
+    def risk_bands(spark, d):
+        return show(scored(spark, d).select(
+            "customer_unique_id", "customer_state", "recency_days", "frequency", "monetary", "avg_order_value",
+            "p_repeat", "churn_risk", "risk_band",
+        ))
+
+    def fixed_clusters(feats):
+        # a fixed assignment in place of fitted clusters
+        return feats.withColumn("cluster", (F.col("customer_unique_id") % 5).cast("int"))
+
+    def cluster_profile(spark, d):
+        given = fixed_clusters(features_now(spark, d))
+        return show(clusters.named_profile(clusters.profile_of(given)), 4)
+
+    def master(spark, d):
+        base = valued(spark, d)
+        scores = rfm.rfm(base).select("customer_unique_id", "R", "F", "M", "rfm_score", "segment")
+        given = fixed_clusters(base)
+        names = clusters.named_profile(clusters.profile_of(given)).select("cluster", "cluster_name")
+        joined = given.join(scores, "customer_unique_id").join(F.broadcast(names), "cluster")  # five names
+        return stage_table(joined, "master")
+
+    def on_master(fn, digits=None, only=()):
+        return lambda spark, d: show(fn(master(spark, d)), digits, only)
+
+    def crosstab(m):
+        names = ["Repeat buyers", *[f"Repeat buyers {i}" for i in range(2, 6)]]
+        return insights.segment_cluster_crosstab(m, names, rfm.SEGMENT_ORDER)
+
+    wanted = (["At Risk", "Loyal", "Lost"], ["very high", "high", "low"])
+
+    def kmeans_clusters(spark, d):
+        return show(clusters.cluster(features_now(spark, d), CONFIG, k=4).assigned)
+
+    def choose_k(spark, d):
+        return show(clusters.choose_k(features_now(spark, d), CONFIG), 6)
+
+    def affinity_of(level, least):
+        return lambda spark, d: affinity.category_affinity(star(spark, d).fact_order_items, level, least)
+
+    def affinity_top(spark, d):
+        rules = affinity_of("customer", CONFIG.min_pair_count)(spark, d)
+        return insights.first_rows(rules, [F.desc("lift"), F.desc("pair_count"), "antecedent", "consequent"], 20)
+
+    def export_records(spark, d):
+        df = features_now(spark, d).select(
+            "customer_unique_id", "snapshot", "last_order", "avg_order_value", "customer_state"
+        )
+        return tables.json_safe(df)
+
+    def customers_master(spark, d):
+        return show(customers.build(star(spark, d), CONFIG, k=4).customers, 6)
+
+    return {
+        "customer_features": lambda spark, d: show(features_now(spark, d)),
+        "customer_features_asof": customer_features_asof,
+        "main_category": main_category,
+        "rfm_scores": lambda spark, d: show(rfm.rfm(features_now(spark, d))),
+        "segment_summary": lambda spark, d: show(_rounded(
+            rfm.segment_summary(rfm.rfm(features_now(spark, d))),
+            {"avg_monetary": 4, "revenue": 4, "share_customers": 9, "share_revenue": 9},
+        )),
+        "churn_labels": churn_labels,
+        "churn_metrics_eval": lambda spark, d: show(propensity.binary_metrics(judged(spark, d)), 6),
+        "score_calibration": lambda spark, d: show(insights.score_calibration(judged(spark, d)), 9),
+        "churn_train": churn_train,
+        "churn_importance": churn_importance,
+        "churn_scores": churn_scores,
+        "risk_bands": risk_bands,
+        "score_percentile": lambda spark, d: show(
+            propensity.score_percentile(_fixed_score(features_now(spark, d)), 0.01)
+        ),
+        "whatif_features": whatif_features,
+        "whatif_scores": whatif_scores,
+        "orders_per_repeater": orders_per_repeater,
+        "clv": lambda spark, d: show(valued(spark, d).select(
+            "customer_unique_id", "avg_order_value", "p_repeat", "risk_band", "expected_orders_12m", "clv_12m",
+            "clv_tier",
+        )),
+        "clv_share_by_tier": lambda spark, d: show(_rounded(
+            insights.clv_share_by_tier(valued(spark, d)), {"total_clv": 4, "share_clv": 9}
+        )),
+        "repeat_by_frequency": lambda spark, d: show(
+            insights.repeat_by_frequency(_fixed_score(features_now(spark, d))), 9
+        ),
+        "kmeans_clusters": kmeans_clusters,
+        "choose_k": choose_k,
+        "cluster_profile": cluster_profile,
+        "affinity_order": affinity_of("order", 60),
+        "affinity_customer": affinity_of("customer", 150),
+        "affinity_top": affinity_top,
+        "clv_by_segment": lambda spark, d: show(_rounded(
+            insights.clv_by_segment(master(spark, d)), {"avg_clv": 4, "total_clv": 4, "p_repeat": 9}
+        )),
+        "rm_matrix": on_master(insights.rm_matrix, clv_digits),
+        "segment_cluster_crosstab": on_master(crosstab),
+        "customer_list": on_master(lambda m: serving.customer_list(m, segment="Champions", limit=1000)),
+        "target_list": on_master(lambda m: serving.target_list(m, *wanted, sort_by="recency_days")),
+        "target_summary": lambda spark, d: show(_rounded(
+            serving.target_summary(master(spark, d), *wanted), {"expected_clv": 4, "expected_repeaters": 6}
+        )),
+        "export_records": export_records,
+        "customers_master": customers_master,
+    }
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
 def all_queries() -> dict[str, Query]:
-    return {**_warehouse_queries(), **_report_queries()}
+    return {**_warehouse_queries(), **_report_queries(), **_demand_queries(), **_customer_queries()}
 
 
 def all_oracles() -> dict[str, str]:
+    from tallymart.plans.oracle_models import MODELS
     from tallymart.plans.oracle_reports import REPORTS
 
-    return {**REPORTS}
+    return {**REPORTS, **MODELS}
