@@ -101,9 +101,9 @@ banded AS (
   FROM scored),
 valued AS (SELECT *, coalesce(avg_order_value, 0) * expected_orders_12m * 1.0::DOUBLE AS clv_12m FROM banded),
 clv AS (
-  SELECT *, CASE WHEN 2 * (r - 1) <= n - 1 THEN 'low' WHEN 5 * (r - 1) <= 4 * (n - 1) THEN 'mid'
-                 WHEN 20 * (r - 1) <= 19 * (n - 1) THEN 'high' ELSE 'top 5%' END AS clv_tier
-  FROM (SELECT *, row_number() OVER (ORDER BY clv_12m, customer_unique_id) AS r, count(*) OVER () AS n FROM valued))"""
+  SELECT *, CASE WHEN 2 * (rk - 1) <= n - 1 THEN 'low' WHEN 5 * (rk - 1) <= 4 * (n - 1) THEN 'mid'
+                 WHEN 20 * (rk - 1) <= 19 * (n - 1) THEN 'high' ELSE 'top 5%' END AS clv_tier
+  FROM (SELECT *, row_number() OVER (ORDER BY clv_12m, customer_unique_id) AS rk, count(*) OVER () AS n FROM valued))"""
 # A fixed assignment stands in for fitted clusters.
 PROFILE_FEATURES = ["recency_days", "frequency", "monetary", "avg_order_value", "avg_items", "avg_review",
                     "avg_delivery_days", "late_rate", "avg_installments", "freight_ratio"]
