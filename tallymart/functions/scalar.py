@@ -58,31 +58,32 @@ def month_start(c: Column | str) -> Column:
     return F.trunc(_col(c).cast("date"), "month")
 
 
-def black_friday(year: Column) -> Column:
-    """Fourth Friday of November."""
-    return F.date_add(F.next_day(F.make_date(year, F.lit(10), F.lit(31)), "FRI"), 21)
-
-
-def easter(year: Column) -> Column:
-    """Gregorian Easter Sunday (the Meeus/Jones/Butcher rule)."""
-    def div(a: Column, b: int) -> Column:
-        return F.floor(a / F.lit(b)).cast("int")
-
-    a, b, c = year % 19, div(year, 100), year % 100
-    moon = (19 * a + b - div(b, 4) - div(b - div(b + 8, 25) + 1, 3) + 15) % 30
-    wday = (32 + 2 * (b % 4) + 2 * div(c, 4) - moon - c % 4) % 7
-    late = div(a + 11 * moon + 22 * wday, 451)
-    days = moon + wday - 7 * late + 114
-    return F.make_date(year, div(days, 31), days % 31 + 1)
-
-
-def br_public_holiday(day: Column) -> Column:
-    """Brazilian national holiday by public law."""
-    # month*100+day of the holidays with a fixed date.
-    fixed = (101, 421, 501, 907, 1012, 1102, 1115, 1225)
-    md = F.month(day) * 100 + F.dayofmonth(day)
-    good_friday = F.date_sub(easter(F.year(day)), 2)
-    return md.isin(*fixed) | (day == good_friday) | ((md == 1120) & (F.year(day) >= 2024))
+def black_friday(year: str) -> str:
+    """SQL text: fourth Friday of November of a year given as SQL text."""
+    return f"date_add(next_day(make_date({year}, 10, 31), 'FRI'), 21)"
+
+
+def easter(year: str) -> str:
+    """SQL text: Gregorian Easter Sunday (the Meeus/Jones/Butcher rule)."""
+    a, b, c = f"({year} % 19)", f"({year} div 100)", f"({year} % 100)"
+    moon = f"((19 * {a} + {b} - {b} div 4 - ({b} - (({b} + 8) div 25) + 1) div 3 + 15) % 30)"
+    wday = f"((32 + 2 * ({b} % 4) + 2 * ({c} div 4) - {moon} - {c} % 4) % 7)"
+    days = f"({moon} + {wday} - 7 * (({a} + 11 * {moon} + 22 * {wday}) div 451) + 114)"
+    return f"make_date({year}, int({days} div 31), int({days} % 31 + 1))"
+
+
+# month*100+day of the Brazilian national holidays with a fixed date, and the one added in 2024.
+FIXED_HOLIDAYS = (101, 421, 501, 907, 1012, 1102, 1115, 1225)
+HOLIDAY_SINCE_2024 = 1120
+
+
+def br_public_holiday(day: str) -> Column:
+    """Whether the day in a column is a Brazilian national holiday by public law."""
+    md = f"(month({day}) * 100 + dayofmonth({day}))"
+    return F.expr(
+        f"{md} IN {FIXED_HOLIDAYS} OR {day} = date_sub({easter(f'year({day})')}, 2) "
+        f"OR ({md} = {HOLIDAY_SINCE_2024} AND year({day}) >= 2024)"
+    )
 
 
 def log1p_clipped(c: Column | str) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.functions.scalar import black_friday, br_public_holiday, week_start
+from tallymart.functions.scalar import black_friday, br_public_holiday
 
 
 def with_holiday_flag(days: DataFrame, day: str, holidays: DataFrame | None = None) -> DataFrame:
     """Add `is_holiday`. `holidays` is an optional frame with one `date` column; default: public law of Brazil."""
     if holidays is None:
-        return days.withColumn("is_holiday", br_public_holiday(F.col(day)))
+        return days.withColumn("is_holiday", br_public_holiday(day))
     listed = holidays.select(F.col("date").cast("date").alias(day), F.lit(True).alias("is_holiday")).distinct()
     return days.join(listed, day, "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(False)))
 
@@ -21,15 +21,10 @@ def dim_date(facts: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     span = facts.agg(F.min("order_date").alias("lo"), F.max("order_date").alias("hi"))
     # one row in, one row per day out
     days = span.where("lo IS NOT NULL").select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    d = F.col("date")
-    days = days.select(
-        "date",
-        F.year(d).cast("bigint").alias("year"),
-        F.month(d).cast("bigint").alias("month"),
-        week_start(d).alias("week_start"),
-        F.weekday(d).cast("bigint").alias("dayofweek"),
-        (F.weekday(d) >= 5).alias("is_weekend"),
-        (d == black_friday(F.year(d))).alias("is_black_friday"),
+    days = days.selectExpr(
+        "date", "bigint(year(date)) AS year", "bigint(month(date)) AS month", "trunc(date, 'week') AS week_start",
+        "bigint(weekday(date)) AS dayofweek", "weekday(date) >= 5 AS is_weekend",
+        f"date = {black_friday('year(date)')} AS is_black_friday",
     )
     flagged = with_holiday_flag(days, "date", holidays)
     return flagged.select(
@@ -45,19 +40,16 @@ def calendar_features(weeks: DataFrame, holidays: DataFrame | None = None) -> Da
         .groupBy("week")
         .agg(F.sum(F.col("is_holiday").cast("int")).alias("n_holidays"))
     )
-    w = F.col("week")
 
-    def holds_friday(first: Column, last: Column) -> Column:
+    def holds_friday(first: str, last: str) -> str:
         # an interval of a week can reach into the next year
-        hits = [black_friday(F.year(edge)).between(first, last) for edge in (first, last)]
-        return (hits[0] | hits[1]).cast("bigint")
-
-    return counted.select(
-        "week",
-        F.weekofyear(w).cast("bigint").alias("weekofyear"),
-        F.month(w).cast("bigint").alias("month"),
-        F.col("n_holidays").cast("bigint").alias("n_holidays"),
-        holds_friday(w, F.date_add(w, 6)).alias("black_friday"),
-        holds_friday(F.date_sub(w, 7), F.date_sub(w, 1)).alias("post_black_friday"),
-        ((F.month(w) == 12) & F.dayofmonth(w).between(8, 24)).cast("bigint").alias("christmas"),
+        hits = [f"{black_friday(f'year({edge})')} BETWEEN {first} AND {last}" for edge in (first, last)]
+        return f"bigint({hits[0]} OR {hits[1]})"
+
+    return counted.selectExpr(
+        "week", "bigint(weekofyear(week)) AS weekofyear", "bigint(month(week)) AS month",
+        "bigint(n_holidays) AS n_holidays",
+        f"{holds_friday('week', 'date_add(week, 6)')} AS black_friday",
+        f"{holds_friday('date_sub(week, 7)', 'date_sub(week, 1)')} AS post_black_friday",
+        "bigint(month(week) = 12 AND dayofmonth(week) BETWEEN 8 AND 24) AS christmas",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +21,54 @@ from tallymart.operators.joins import many_to_one
 from tallymart.session import stage_table
 
 
-@dataclass(frozen=True)
 class Warehouse:
-    """Lazy frames; nothing runs until one is written or read."""
+    """The five tables. Each is planned when first asked for and runs only when it is written or read."""
 
-    fact_orders: DataFrame
-    fact_order_items: DataFrame
-    dim_customer: DataFrame
-    dim_product: DataFrame
-    dim_date: DataFrame
+    NAMES = ("fact_orders", "fact_order_items", "dim_customer", "dim_product", "dim_date")
+
+    def __init__(self, sources: dict[str, DataFrame], config: Config, holidays: DataFrame | None = None):
+        self._sources, self._config, self._holidays = sources, config, holidays
+
+    @cached_property
+    def dim_product(self) -> DataFrame:
+        return clean_products(self._sources["products"], self._sources["translation"])
+
+    @cached_property
+    def _items(self) -> DataFrame:
+        return categorised_items(self._sources["items"], self.dim_product)
+
+    @cached_property
+    def fact_orders(self) -> DataFrame:
+        return fact_orders(
+            clean_orders(self._sources["orders"], self._config),
+            first_per_key(self._sources["customers"], "customer_id"),
+            clean_reviews(self._sources["reviews"]),
+            clean_payments(self._sources["payments"]),
+            item_totals(self._items),
+        )
+
+    @cached_property
+    def fact_order_items(self) -> DataFrame:
+        return fact_order_items(self._items, self.fact_orders)
+
+    @cached_property
+    def dim_customer(self) -> DataFrame:
+        return dim_customer(self.fact_orders)
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return dim_date(self.fact_orders, self._holidays)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: getattr(self, name) for name in self.NAMES}
 
     def staged(self, *names: str) -> Warehouse:
         """The same warehouse with the named tables written to the shared scratch area."""
-        parts = self.tables()
-        parts.update({n: stage_table(parts[n], n) for n in names})
-        return Warehouse(**parts)
+        other = Warehouse(self._sources, self._config, self._holidays)
+        for name in names:
+            # a stored value takes the place of the planned one, also for the tables built on it
+            other.__dict__[name] = stage_table(getattr(other, name), name)
+        return other
 
 
 def categorised_items(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -99,19 +129,4 @@ def dim_customer(facts: DataFrame) -> DataFrame:
 
 
 def build(sources: dict[str, DataFrame], config: Config, holidays: DataFrame | None = None) -> Warehouse:
-    products = clean_products(sources["products"], sources["translation"])
-    items = categorised_items(sources["items"], products)
-    facts = fact_orders(
-        clean_orders(sources["orders"], config),
-        first_per_key(sources["customers"], "customer_id"),
-        clean_reviews(sources["reviews"]),
-        clean_payments(sources["payments"]),
-        item_totals(items),
-    )
-    return Warehouse(
-        fact_orders=facts,
-        fact_order_items=fact_order_items(items, facts),
-        dim_customer=dim_customer(facts),
-        dim_product=products,
-        dim_date=dim_date(facts, holidays),
-    )
+    return Warehouse(sources, config, holidays)

@@ -18,6 +18,8 @@ def build_session(app: str = "tallymart", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # plans here have many columns: do not record the call site of each one
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
     settings.update({k.replace("_", "."): v for k, v in conf.items()})

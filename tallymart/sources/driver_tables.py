@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.config import Config
@@ -73,116 +73,79 @@ def source_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "reviews": _reviews(lines),
         "customers": _customers(customer, nation),
         "products": _products(part),
-        "sellers": supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-            F.col("s_suppkey").alias("seller_id"),
-            F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("seller_zip_code_prefix"),
-            F.col("s_name").alias("seller_city"),
-            F.col("n_name").alias("seller_state"),
-        ),
-        "translation": part.select(
-            F.col("p_brand").alias("product_category_name"),
-            F.col("p_brand").alias("product_category_name_english"),
+        "sellers": _sellers(supplier, nation),
+        "translation": part.selectExpr(
+            "p_brand AS product_category_name", "p_brand AS product_category_name_english"
         ).distinct(),
     }
 
 
-def _days(n: Column) -> Column:
-    return F.make_dt_interval(n.cast("int"))
-
-
 def _orders(orders: DataFrame) -> DataFrame:
-    key = F.col("o_orderkey")
-    bought = F.col("o_orderdate") + F.make_dt_interval(secs=(key * 37 % 86400).cast("decimal(18,6)"))
-    delivered = bought + F.make_dt_interval(
-        (4 + key * 11 % 19).cast("int"), (key * 5 % 24).cast("int")
-    )
-    return orders.select(
-        key.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .otherwise("processing")
-        .alias("order_status"),
-        bought.alias("order_purchase_timestamp"),
-        (bought + _days(F.lit(1))).alias("order_approved_at"),
-        (bought + _days(F.lit(2))).alias("order_delivered_carrier_date"),
-        F.when(key % 97 != 0, delivered).alias("order_delivered_customer_date"),
-        (F.col("o_orderdate") + _days(15 + key * 7 % 14)).alias("order_estimated_delivery_date"),
+    bought = "o_orderdate + make_dt_interval(0, 0, 0, o_orderkey * 37 % 86400)"
+    delivered = f"{bought} + make_dt_interval(int(4 + o_orderkey * 11 % 19), int(o_orderkey * 5 % 24))"
+    return orders.selectExpr(
+        "o_orderkey AS order_id", "o_custkey AS customer_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'processing' END AS order_status",
+        f"{bought} AS order_purchase_timestamp",
+        f"{bought} + make_dt_interval(1) AS order_approved_at",
+        f"{bought} + make_dt_interval(2) AS order_delivered_carrier_date",
+        f"CASE WHEN o_orderkey % 97 <> 0 THEN {delivered} END AS order_delivered_customer_date",
+        "o_orderdate + make_dt_interval(int(15 + o_orderkey * 7 % 14)) AS order_estimated_delivery_date",
     )
 
 
-def _price() -> Column:
-    return F.col("l_extendedprice").cast("decimal(14,2)")
+PRICE = "CAST(l_extendedprice AS DECIMAL(14,2))"
 
 
 def _items(lines: DataFrame) -> DataFrame:
-    return lines.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").alias("shipping_limit_date"),
-        _price().cast("decimal(18,4)").alias("price"),
-        (_price() * F.col("l_tax").cast("decimal(4,2)")).cast("decimal(18,4)").alias("freight_value"),
+    return lines.selectExpr(
+        "l_orderkey AS order_id", "l_linenumber AS order_item_id", "l_partkey AS product_id",
+        "l_suppkey AS seller_id", "l_shipdate AS shipping_limit_date",
+        f"CAST({PRICE} AS DECIMAL(18,4)) AS price",
+        f"CAST({PRICE} * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(18,4)) AS freight_value",
     )
 
 
 def _payments(lines: DataFrame) -> DataFrame:
-    return lines.where(F.col("l_orderkey") % 53 != 0).select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("payment_sequential"),
-        F.when(F.col("l_returnflag") == "A", "credit_card")
-        .when(F.col("l_returnflag") == "N", "boleto")
-        .otherwise("voucher")
-        .alias("payment_type"),
-        (F.col("l_quantity").cast("int") % 10 + 1).alias("payment_installments"),
-        (_price() * (1 - F.col("l_discount").cast("decimal(4,2)")))
-        .cast("decimal(18,4)")
-        .alias("payment_value"),
+    return lines.where("l_orderkey % 53 <> 0").selectExpr(
+        "l_orderkey AS order_id", "l_linenumber AS payment_sequential",
+        "CASE l_returnflag WHEN 'A' THEN 'credit_card' WHEN 'N' THEN 'boleto' ELSE 'voucher' END AS payment_type",
+        "int(l_quantity) % 10 + 1 AS payment_installments",
+        f"CAST({PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS payment_value",
     )
 
 
 def _reviews(lines: DataFrame) -> DataFrame:
-    def padded(c: str, width: int) -> Column:
-        return F.lpad(F.col(c).cast("bigint").cast("string"), width, "0")
-
-    return lines.select(
-        F.concat_ws(
-            "-", padded("l_partkey", 12), padded("l_suppkey", 12), padded("l_linenumber", 3), padded("l_quantity", 5)
-        ).alias("review_id"),
-        F.col("l_orderkey").alias("order_id"),
-        (F.col("l_linenumber") % 5 + 1).cast("int").alias("review_score"),
-        F.lit(None).cast("string").alias("review_comment_title"),
-        F.lit(None).cast("string").alias("review_comment_message"),
-        F.col("l_shipdate").alias("review_creation_date"),
-        F.when(F.col("l_partkey") % 40 != 0, F.col("l_shipdate")).alias("review_answer_timestamp"),
+    parts = {"l_partkey": 12, "l_suppkey": 12, "l_linenumber": 3, "l_quantity": 5}
+    padded = ", ".join(f"lpad(string(bigint({c})), {w}, '0')" for c, w in parts.items())
+    return lines.selectExpr(
+        f"concat_ws('-', {padded}) AS review_id", "l_orderkey AS order_id",
+        "int(l_linenumber % 5 + 1) AS review_score", "string(NULL) AS review_comment_title",
+        "string(NULL) AS review_comment_message", "l_shipdate AS review_creation_date",
+        "CASE WHEN l_partkey % 40 <> 0 THEN l_shipdate END AS review_answer_timestamp",
     )
 
 
 def _customers(customer: DataFrame, nation: DataFrame) -> DataFrame:
-    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return named.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
-        F.lpad((F.col("c_custkey") % 100000).cast("string"), 5, "0").alias("customer_zip_code_prefix"),
-        F.col("c_mktsegment").alias("customer_city"),
-        F.when(F.col("c_custkey") % 71 != 0, F.col("n_name")).alias("customer_state"),
+    return customer.join(nation, F.expr("c_nationkey = n_nationkey"), "left").selectExpr(
+        "c_custkey AS customer_id", "c_custkey AS customer_unique_id",
+        "lpad(string(c_custkey % 100000), 5, '0') AS customer_zip_code_prefix",
+        "c_mktsegment AS customer_city", "CASE WHEN c_custkey % 71 <> 0 THEN n_name END AS customer_state",
     )
 
 
 def _products(part: DataFrame) -> DataFrame:
-    def number(c: Column, name: str) -> Column:
-        return c.cast("double").alias(name)
-
-    size = F.col("p_size")
-    return part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand")).alias("product_category_name"),
-        number(F.length("p_name"), "product_name_lenght"),
-        number(F.length("p_type"), "product_description_lenght"),
-        number(size % 5 + 1, "product_photos_qty"),
-        number(size * 100, "product_weight_g"),
-        number(size, "product_length_cm"),
-        number(size, "product_height_cm"),
-        number(size, "product_width_cm"),
+    return part.selectExpr(
+        "p_partkey AS product_id", "CASE WHEN p_partkey % 50 <> 0 THEN p_brand END AS product_category_name",
+        "double(length(p_name)) AS product_name_lenght", "double(length(p_type)) AS product_description_lenght",
+        "double(p_size % 5 + 1) AS product_photos_qty", "double(p_size * 100) AS product_weight_g",
+        "double(p_size) AS product_length_cm", "double(p_size) AS product_height_cm",
+        "double(p_size) AS product_width_cm",
+    )
+
+
+def _sellers(supplier: DataFrame, nation: DataFrame) -> DataFrame:
+    return supplier.join(nation, F.expr("s_nationkey = n_nationkey"), "left").selectExpr(
+        "s_suppkey AS seller_id", "lpad(string(s_suppkey), 5, '0') AS seller_zip_code_prefix",
+        "s_name AS seller_city", "n_name AS seller_state",
     )
