@@ -101,8 +101,11 @@ def predict(model: PipelineModel, hist: DataFrame, horizon: int, holidays: DataF
 
 
 def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], config: Config | None = None,
-                      holidays: DataFrame | None = None) -> DataFrame:
-    """Forecasts per fold from a model fitted on that fold's history alone. The folds are fitted concurrently."""
+                      holidays: DataFrame | None = None, models: dict[int, PipelineModel] | None = None) -> DataFrame:
+    """Forecasts per fold from a model fitted on that fold's history alone. The folds are fitted concurrently.
+
+    The fitted models are put into `models` when it is given, by fold.
+    """
     config = config or Config()
     feats = stage_table(supervised(panel, holidays), "supervised")
     codes = feats.select("series", F.col("series_code").cast("double").alias("series_code")).distinct()
@@ -112,6 +115,8 @@ def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], conf
     def one(fold: int) -> DataFrame:
         known = feats.where(F.col("week") <= F.lit(cutoffs[fold]))
         model = fit(panel, config, known.coalesce(1))
+        if models is not None:
+            models[fold] = model
         return stage_table(predict(model, hist.where(F.col("fold") == fold), horizon, holidays), f"boosted_{fold}")
 
     with ThreadPoolExecutor(4) as pool:

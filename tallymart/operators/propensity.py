@@ -20,7 +20,6 @@ from tallymart.functions.scalar import column_name, flag, midnight
 from tallymart.operators.features import (
     category_columns,
     customer_features,
-    default_snapshot,
     with_categories,
     with_state_flags,
 )
@@ -207,11 +206,10 @@ def with_risk_band(scored: DataFrame) -> DataFrame:
     return binned.withColumn("risk_band", F.element_at(names, F.col("_bin").cast("int"))).drop("_bin")
 
 
-def score_customers(model: PipelineModel, facts: DataFrame, items: DataFrame | None, config: Config,
-                    snapshot: Column | None = None) -> DataFrame:
-    """Repeat probability, churn risk and risk band of every customer at the snapshot."""
-    days = F.array(default_snapshot(facts) if snapshot is None else snapshot)
-    feats = with_state_flags(with_categories(customer_features(facts, config, days), items, config, days), config)
+def score_features(model: PipelineModel, feats: DataFrame, items: DataFrame | None, config: Config) -> DataFrame:
+    """Repeat probability, churn risk and risk band per row of `customer_features` of one snapshot."""
+    days = F.array(feats.agg(F.max("snapshot")).scalar())
+    feats = with_state_flags(with_categories(feats, items, config, days), config)
     scored = with_probability(model, feats).select(
         "customer_unique_id", "customer_state", "recency_days", "frequency", "monetary", "avg_order_value",
         "p_repeat", (1 - F.col("p_repeat")).alias("churn_risk"),
@@ -220,6 +218,13 @@ def score_customers(model: PipelineModel, facts: DataFrame, items: DataFrame | N
     return with_risk_band(stage_table(scored, "scored"))
 
 
+def score_customers(model: PipelineModel, facts: DataFrame, items: DataFrame | None, config: Config,
+                    snapshot: Column | None = None) -> DataFrame:
+    """Score every customer of the facts at the snapshot (default: the day after the last order)."""
+    days = None if snapshot is None else F.array(snapshot)
+    return score_features(model, customer_features(facts, config, days), items, config)
+
+
 # What a hypothetical customer has when nothing is given.
 HYPOTHETICAL_DEFAULTS = {
     "avg_items": 1.0, "avg_freight": 20.0, "avg_review": 4.0, "avg_delivery_days": 12.0, "late_rate": 0.0,

@@ -62,6 +62,12 @@ class Warehouse:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in self.NAMES}
 
+    def with_fact_orders(self, stored: DataFrame) -> Warehouse:
+        """The same warehouse whose other tables build on the given orders."""
+        other = Warehouse(self._sources, self._config, self._holidays)
+        other.__dict__["fact_orders"] = stored
+        return other
+
     def staged(self, *names: str) -> Warehouse:
         """The same warehouse with the named tables written to the shared scratch area."""
         other = Warehouse(self._sources, self._config, self._holidays)

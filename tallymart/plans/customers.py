@@ -25,16 +25,19 @@ class CustomerStage:
     churn_model: PipelineModel
 
 
-def build(warehouse: Warehouse, config: Config, k: int | None = None) -> CustomerStage:
-    """Build all customer tables. Without `k` the number of clusters comes from the silhouette on a sample."""
-    facts = stage_table(warehouse.fact_orders, "fact_orders")
-    items = warehouse.fact_order_items
-    feats = features.customer_features(facts, config)
+def build(warehouse: Warehouse, config: Config, k: int | None = None, staged: bool = False) -> CustomerStage:
+    """Build all customer tables. Without `k` the number of clusters comes from the silhouette on a sample.
+
+    The facts are read many times; pass `staged=True` when they are stored tables already.
+    """
+    stored = warehouse if staged else warehouse.staged("fact_orders")
+    facts, items = stored.fact_orders, stored.fact_order_items
+    feats = stage_table(features.customer_features(facts, config), "features")
     scores = stage_table(rfm.rfm(feats), "rfm")
     grouped = clusters.cluster(feats, config, k)
 
     trained = propensity.train_and_evaluate(facts, items, config)
-    scored = propensity.score_customers(trained.model, facts, items, config)
+    scored = propensity.score_features(trained.model, feats, items, config)
     cut = propensity.train_cutoffs(propensity.test_cutoff(facts, config), config)[-1]
     valued = clv.clv(scored, clv.orders_per_repeater(facts, cut, config).scalar(), config)
 
