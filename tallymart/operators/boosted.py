@@ -41,23 +41,22 @@ def fit(panel: DataFrame, config: Config, features: DataFrame | None = None) ->
     return Pipeline(stages=[assembler, trees]).fit(df.select("ly", *FEATURES))
 
 
-def _step_features(tail: Column) -> dict[str, Column]:
-    """Features of the next week from the last logged values, newest last."""
-    def latest(k: int) -> Column:
-        return F.slice(tail, F.size(tail) - k + 1, k)
+def _step_features() -> dict[str, Column]:
+    """Features of the next week from `tail`, the last logged values with the newest last."""
+    def total(values: str) -> str:
+        return f"aggregate({values}, 0D, (a, x) -> a + x)"
 
-    def mean(k: int) -> Column:
-        return F.aggregate(latest(k), F.lit(0.0), lambda a, x: a + x) / k
+    def mean(k: int) -> str:
+        return f"({total(f'slice(tail, -{k}, {k})')} / {k})"
 
-    def known(k: int, value: Column) -> Column:
-        return F.when(F.size(tail) >= k, value).otherwise(F.lit(MISSING))
+    def known(k: int, value: str) -> Column:
+        return F.expr(f"CASE WHEN size(tail) >= {k} THEN {value} ELSE {MISSING}D END")
 
-    squares = F.aggregate(F.transform(latest(4), lambda x: (x - mean(4)) * (x - mean(4))), F.lit(0.0),
-                          lambda a, x: a + x)
+    squares = total(f"transform(slice(tail, -4, 4), x -> (x - {mean(4)}) * (x - {mean(4)}))")
     return {
-        **{f"lag_{k}": known(k, F.get(tail, F.size(tail) - k)) for k in LAGS},
+        **{f"lag_{k}": known(k, f"element_at(tail, -{k})") for k in LAGS},
         **{f"roll_mean_{k}": known(k, mean(k)) for k in MEANS},
-        "roll_std_4": known(4, F.sqrt(squares / 3)),
+        "roll_std_4": known(4, f"sqrt({squares} / 3)"),
     }
 
 
@@ -82,7 +81,7 @@ def predict(model: PipelineModel, hist: DataFrame, horizon: int, holidays: DataF
     state = stage_table(state.join(calendar, "cutoff"), "boosted_state")
     for step in range(horizon):
         row = state.withColumns({
-            **_step_features(F.col("tail")),
+            **_step_features(),
             **{c: F.col("calendar")[step][c] for c in CALENDAR},
         })
         made = model.transform(row)

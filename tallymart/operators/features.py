@@ -11,11 +11,6 @@ from tallymart.operators.ranking import medians
 from tallymart.session import stage_table
 
 
-def default_snapshot(facts: DataFrame) -> Column:
-    """The day after the last order, as a scalar subquery."""
-    return facts.agg(F.date_add(F.max(F.col("order_purchase_timestamp").cast("date")), 1)).scalar()
-
-
 def _per_snapshot(facts: DataFrame, snapshots: Column) -> DataFrame:
     """Each order once for every snapshot it precedes. `snapshots` is an array of days."""
     bought = F.col("order_purchase_timestamp")
@@ -30,12 +25,13 @@ def customer_features(facts: DataFrame, config: Config, snapshots: Column | None
     order. All snapshots are computed in one shuffle. The aggregate is written once, since the medians that
     fill the gaps read it again. Only the state and the average order value can be missing.
     """
-    if snapshots is None:
-        snapshots = F.array(default_snapshot(facts))
-    orders = _per_snapshot(facts.where(F.col("customer_unique_id").isNotNull()), snapshots)
+    known = facts.where(F.col("customer_unique_id").isNotNull())
+    keys = ["customer_unique_id"]
+    if snapshots is not None:
+        known, keys = _per_snapshot(known, snapshots), ["snapshot", *keys]
     bought = F.col("order_purchase_timestamp")
     known_at = F.when(F.col("customer_state").isNotNull(), F.struct("order_purchase_timestamp", "order_id"))
-    grouped = orders.groupBy("snapshot", "customer_unique_id").agg(
+    grouped = known.groupBy(*keys).agg(
         F.min(bought).alias("first_order"),
         F.max(bought).alias("last_order"),
         F.count("order_id").alias("frequency"),  # order_id is unique in the facts
@@ -52,6 +48,10 @@ def customer_features(facts: DataFrame, config: Config, snapshots: Column | None
         mean(flag(F.col("payment_type") == config.card_type)).alias("credit_card_share"),
     )
     raw = stage_table(grouped, "customer_features")
+    if snapshots is None:
+        # the default lies after every order, so it excludes none and can be read off the aggregate
+        raw = raw.withColumn("snapshot", raw.agg(F.date_add(F.max(F.col("last_order").cast("date")), 1)).scalar())
+        raw = raw.select("snapshot", *grouped.columns)
 
     mids = medians(raw, "snapshot", ["avg_review", "avg_delivery_days"]).select(
         "snapshot", F.col("avg_review").alias("_review"), F.col("avg_delivery_days").alias("_days")

@@ -18,6 +18,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
+def sized_partitions(df: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
+    """Merge partitions that are far below the target size. For data that many short passes will read."""
+    return df.coalesce(max(1, -(-estimated_bytes(df) // target_bytes)))
+
+
 def many_to_one(
     many: DataFrame, one: DataFrame, key: str, how: str = "left", check_bytes: int = SKEW_CHECK_BYTES
 ) -> DataFrame:

@@ -6,8 +6,10 @@ the window that starts with it.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -23,6 +25,7 @@ from tallymart.operators.features import (
     with_categories,
     with_state_flags,
 )
+from tallymart.operators.joins import sized_partitions
 from tallymart.operators.ranking import quintile, with_running_totals
 from tallymart.session import stage_table
 
@@ -176,11 +179,20 @@ def train_and_evaluate(facts: DataFrame, items: DataFrame | None, config: Config
     sets = stage_table(labelled(facts, items, days, config), "labelled")
     last = sets.agg(F.max("snapshot")).scalar()
     train, test = sets.where(F.col("snapshot") < last), sets.where(F.col("snapshot") == last)
-    models, scores = {}, []
-    for name, pipeline in make_models(config, train.count()).items():
-        models[name] = pipeline.fit(train)
-        scores.append(binary_metrics(with_probability(models[name], test)).select(F.lit(name).alias("model"), "*"))
-    metrics = stage_table(scores[0].unionByName(scores[1]), "churn_metrics")
+    rows = sized_partitions(train)
+
+    def fit(job):
+        name, pipeline = job
+        model = pipeline.fit(rows)
+        scored = stage_table(with_probability(model, test), f"scored_{name}")
+        return name, model, binary_metrics(scored).select(F.lit(name).alias("model"), "*")
+
+    with ThreadPoolExecutor(2) as pool:  # the two fits are independent jobs
+        done = list(pool.map(
+            inheritable_thread_target(sets.sparkSession)(fit), make_models(config, train.count()).items()
+        ))
+    models = {name: model for name, model, _ in done}
+    metrics = stage_table(done[0][2].unionByName(done[1][2]), "churn_metrics")
     best = metrics.orderBy(F.desc("pr_auc"), "model").first()["model"]
     metrics = metrics.withColumns({
         "selected": F.col("model") == best, "test_cutoff": last,

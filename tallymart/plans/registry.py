@@ -58,8 +58,16 @@ def show(df: DataFrame, digits: int | None = None, only: tuple[str, ...] = ()) -
     return df.select(*out)
 
 
+_kept: dict[str, Warehouse] = {}
+
+
+def serve_from(sf_dir: str, stored: Warehouse) -> None:
+    """Let the queries on this folder read a stored star schema instead of planning it from the sources."""
+    _kept[sf_dir] = stored
+
+
 def star(spark: SparkSession, sf_dir: str) -> Warehouse:
-    return warehouse.build(driver_tables.source_tables(spark, sf_dir), CONFIG)
+    return _kept.get(sf_dir) or warehouse.build(driver_tables.source_tables(spark, sf_dir), CONFIG)
 
 
 def _warehouse_queries() -> dict[str, Query]:
