@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.config import UNKNOWN
+from tallymart.session import stage_table
 
 COLUMNS = ("antecedent", "consequent", "pair_count", "support", "confidence", "lift")
 LEVELS = {"order": "order_id", "customer": "customer_unique_id"}
@@ -24,8 +25,8 @@ def basket_sets(items: DataFrame, level: str) -> DataFrame:
 
 
 def category_affinity(items: DataFrame, level: str = "order", min_pair_count: int = 5) -> DataFrame:
-    """Rules A -> B with support, confidence and lift, highest lift first."""
-    sets = basket_sets(items, level)
+    """Rules A -> B with support, confidence and lift, highest lift first. Runs one job when called."""
+    sets = stage_table(basket_sets(items, level), "basket_sets")  # read three times below
     n = sets.agg(F.sum("baskets")).scalar()
     single = sets.select(F.explode("cats").alias("category"), "baskets").groupBy("category").agg(
         F.sum("baskets").alias("in_baskets")

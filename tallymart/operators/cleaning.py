@@ -28,12 +28,15 @@ def first_per_key(df: DataFrame, key: str, order: list[str] | None = None) -> Da
 
 def clean_orders(orders: DataFrame, config: Config, delivered_only: bool = True) -> DataFrame:
     """Unique orders of the kept status inside the window, with delivery delays."""
-    df = first_per_key(orders, "order_id", ["order_purchase_timestamp"])
+    bought = F.col("order_purchase_timestamp")
+    window_end = midnight(F.date_add(F.lit(config.end), 1))
+    # The earliest copy of an order is kept, so copies after the window cannot matter and need no shuffle.
+    # Earlier copies and those without a time can: they take their order out of the window.
+    df = orders.where(bought.isNull() | (bought < window_end))
+    df = first_per_key(df, "order_id", ["order_purchase_timestamp"])
     if delivered_only:
         df = df.where(F.col("order_status") == config.kept_status)
-    bought = F.col("order_purchase_timestamp")
-    window_end = F.date_add(F.lit(config.end), 1)
-    df = df.where((bought >= midnight(F.lit(config.start))) & (bought < midnight(window_end)))
+    df = df.where((bought >= midnight(F.lit(config.start))) & (bought < window_end))
     df = df.withColumns({
         "delivery_days": elapsed_days("order_delivered_customer_date", bought),
         "delay_days": elapsed_days("order_delivered_customer_date", "order_estimated_delivery_date"),

@@ -25,12 +25,9 @@ class CustomerStage:
     churn_model: PipelineModel
 
 
-def build(warehouse: Warehouse, config: Config, k: int | None = None, staged: bool = False) -> CustomerStage:
-    """Build all customer tables. Without `k` the number of clusters comes from the silhouette on a sample.
-
-    The facts are read many times; pass `staged=True` when they are stored tables already.
-    """
-    stored = warehouse if staged else warehouse.staged("fact_orders")
+def build(warehouse: Warehouse, config: Config, k: int | None = None) -> CustomerStage:
+    """Build all customer tables. Without `k` the number of clusters comes from the silhouette on a sample."""
+    stored = warehouse.staged("fact_orders")  # the facts are read many times
     facts, items = stored.fact_orders, stored.fact_order_items
     feats = stage_table(features.customer_features(facts, config), "features")
     scores = stage_table(rfm.rfm(feats), "rfm")

@@ -302,14 +302,14 @@ def _customer_queries() -> dict[str, Query]:
         return show(features.main_category(star(spark, d).fact_order_items, cutoff_days()))
 
     def churn_labels(spark, d):
-        w = star(spark, d)
+        w = star(spark, d).staged("fact_orders")  # read for the cutoff, the features and the labels
         days = F.array(*propensity.train_cutoffs(propensity.test_cutoff(w.fact_orders, CONFIG), CONFIG),
                        propensity.test_cutoff(w.fact_orders, CONFIG))
         df = propensity.labelled(w.fact_orders, None, days, CONFIG)
         return show(df.select("snapshot", "customer_unique_id", "recency_days", "frequency", "repeat"))
 
     def judged(spark, d):
-        w = star(spark, d)
+        w = star(spark, d).staged("fact_orders")
         return _fixed_score(propensity.labelled(w.fact_orders, None, F.array(F.lit(TEST_CUTOFF)), CONFIG))
 
     def churn_train(spark, d):
@@ -347,7 +347,7 @@ def _customer_queries() -> dict[str, Query]:
         return propensity.with_risk_band(_fixed_score(features_now(spark, d)))
 
     def valued(spark, d):
-        w = star(spark, d)
+        w = star(spark, d).staged("fact_orders")
         cut = propensity.train_cutoffs(propensity.test_cutoff(w.fact_orders, CONFIG), CONFIG)[-1]
         rate = clv.orders_per_repeater(w.fact_orders, cut, CONFIG).scalar()
         return clv.clv(propensity.with_risk_band(_fixed_score(
