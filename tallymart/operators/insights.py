@@ -28,8 +28,8 @@ def kpis(facts: DataFrame, customers: DataFrame) -> DataFrame:
         mean("review_score").alias("avg_review_score"),
         F.avg(flag(F.col("is_late"))).alias("late_delivery_rate"),
         mean("delivery_days").alias("avg_delivery_days"),
-        F.date_format(F.min("order_date"), "yyyy-MM-dd").alias("data_start"),
-        F.date_format(F.max("order_date"), "yyyy-MM-dd").alias("data_end"),
+        F.min("order_date").cast("string").alias("data_start"),
+        F.max("order_date").cast("string").alias("data_end"),
     ).withColumn("c", repeat.scalar())
     return one.select(
         "orders", F.col("c.customers").alias("customers"), "revenue", "avg_order_value",

@@ -44,10 +44,8 @@ def show(df: DataFrame, digits: int | None = None, only: tuple[str, ...] = ()) -
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, TimestampNTZType):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        if isinstance(f.dataType, (DateType, TimestampNTZType)):
+            c = c.cast("string")  # formatting functions would go through the session time zone
         elif isinstance(f.dataType, DecimalType):
             c = c.cast("double")
         elif isinstance(f.dataType, (IntegerType, ShortType)):

@@ -67,7 +67,7 @@ def json_safe(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (DoubleType, FloatType)):
             c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = c.cast("date").cast("string")
         out.append(c.alias(f.name))
     return df.select(*out)
 

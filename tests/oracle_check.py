@@ -51,7 +51,10 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session(master="local[8]", spark_sql_shuffle_partitions="8", spark_driver_memory="12g")
+    spark = build_session(master="local[8]", spark_sql_shuffle_partitions="8", spark_driver_memory="12g",
+                          spark_ui_showConsoleProgress="false")
+    # results must not depend on the zone of the session that runs the query
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("CHECK_TZ", "UTC"))
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, failed = oracle_connection(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
