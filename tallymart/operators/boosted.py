@@ -9,13 +9,14 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.config import Config
 from tallymart.operators.calendar import calendar_features
 from tallymart.operators.demand import CALENDAR, FEATURES, LAGS, MEANS, supervised
 from tallymart.operators.forecasting import BOOSTED, histories
+from tallymart.operators.joins import sized_partitions
 from tallymart.session import stage_table
 
 # Trees take no nulls. Logged demand is never negative, so this is a value of its own for a missing lag.
@@ -113,7 +114,7 @@ def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], conf
 
     def one(fold: int) -> DataFrame:
         known = feats.where(F.col("week") <= F.lit(cutoffs[fold]))
-        model = fit(panel, config, known.coalesce(1))
+        model = fit(panel, config, sized_partitions(known))
         if models is not None:
             models[fold] = model
         return stage_table(predict(model, hist.where(F.col("fold") == fold), horizon, holidays), f"boosted_{fold}")
@@ -128,8 +129,6 @@ def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], conf
 
 def feature_importance(model: PipelineModel) -> DataFrame:
     """Normalised gain per feature, highest first."""
-    from pyspark.sql import SparkSession
-
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(n, float(v)) for n, v in zip(FEATURES, weights, strict=True)]
     return SparkSession.active().createDataFrame(rows, "feature string, gain double").orderBy(

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.config import Config
@@ -168,7 +168,9 @@ class Trained:
         return self.models[self.best]
 
 
-def train_and_evaluate(facts: DataFrame, items: DataFrame | None, config: Config, cutoff: Column | None = None) -> Trained:
+def train_and_evaluate(
+    facts: DataFrame, items: DataFrame | None, config: Config, cutoff: Column | None = None
+) -> Trained:
     """Fit both classifiers on the stacked training cutoffs and rank them by average precision on the test cutoff.
 
     Training and test sets come from one pass over the facts; `cutoff` defaults to `test_cutoff`.
@@ -204,8 +206,6 @@ def importance(model: PipelineModel, config: Config) -> DataFrame:
     """Absolute coefficients or normalised gain per feature, highest first."""
     last = model.stages[-1]
     weights = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
-    from pyspark.sql import SparkSession
-
     rows = [(n, abs(float(v))) for n, v in zip(feature_names(config), weights.toArray(), strict=True)]
     df = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.desc("importance"), "feature")

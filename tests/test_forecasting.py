@@ -80,6 +80,13 @@ def test_panel_keeps_unknown_in_the_total_and_drops_a_partial_week(spark):
     assert got == {("a", week): 1.0, ("b", week): 1.0, (TOTAL, week): 4.0}  # ties go to the first names
 
 
+def test_wide_and_back(spark):
+    panel = panel_of(spark, [1, 2], "a").unionByName(panel_of(spark, [3, 4], "b"))
+    across = demand.wide(panel, ["a", "b"])
+    assert [(r["a"], r["b"]) for r in across.collect()] == [(1.0, 3.0), (2.0, 4.0)]
+    assert sorted(demand.long(across, ["a", "b"]).collect()) == sorted(panel.collect())
+
+
 def test_supervised_windows(spark):
     rows = demand.supervised(panel_of(spark, [0, 1, 3, 7, 15, 31])).orderBy("week").collect()
     logs = [r["ly"] for r in rows]
