@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymart.llm import oracles
 from tallymart.llm.common import read_table
 from tallymart.llm.decontamination import find_contamination
+from tallymart.llm.secrets import BASE_KINDS, find_secrets, listed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = oracles.ORACLES
@@ -32,3 +33,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         joined_sha256(items).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
+    )
