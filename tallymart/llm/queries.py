@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import oracles
+from tallymart.llm import bpe, oracles, simhash, token_files
 from tallymart.llm.common import read_table
 from tallymart.llm.decontamination import find_contamination
+from tallymart.llm.quality import judge
 from tallymart.llm.secrets import BASE_KINDS, find_secrets, listed
 
+VOCABULARY = "word_bpe_49k.json"
+END_ID = 2
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = oracles.ORACLES
 
@@ -21,6 +25,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
+
+
 def joined_sha256(parts: Column, separator: str = ",") -> Column:
     return F.sha2(F.concat_ws(separator, parts), 256)
 
@@ -44,3 +54,37 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"),
     )
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+             "ratio", "n_chunks", "n_bad_chunks")
+    return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
+
+
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_files.read_tokens(token_files.write_tokens(docs, vocabulary_path(), END_ID))
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+@query
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, vocabulary_path()), vocabulary_path())
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        joined_sha256(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
