@@ -39,3 +39,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def identity(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`_id` and `_text` (null as empty) of each row with join keys that are never null.
+
+    `_no_id`, `_of` and `_hash` are equal only in rows that have the same id and, by its 64-bit hash, the same text.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(
+        F.col(doc_id).alias("_id"), body.alias("_text"), F.col(doc_id).isNull().alias("_no_id"),
+        F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("_of"), F.xxhash64(body).alias("_hash"),
+    )

@@ -38,7 +38,7 @@ def find_contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", n: int = WINDOW, min_share: int = MIN_SHARE,
 ) -> DataFrame:
-    """One row per row of `docs`: id, `n_words`, `n_hit`, `items` (sorted), `spans` and `contaminated`.
+    """One row per row of `docs`: id, `text_hash`, `n_words`, `n_hit`, `items` (sorted), `spans`, `contaminated`.
 
     `spans` are the maximal runs of hit words as (start, end), 0-based word positions, end exclusive.
     Null or empty texts have no words and are clean. Repeated rows each keep their own result row; rows of one id with
@@ -78,15 +78,29 @@ def find_contamination(
         F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("_closing"), F.col("_items"))))).alias("_items"),
     )
     out = per_doc.select(
-        F.col("_id").alias(doc_id), F.col("_n_words").cast("long").alias("n_words"),
+        F.col("_id").alias(doc_id), F.col("_text").alias("text_hash"), F.col("_n_words").cast("long").alias("n_words"),
         F.array_sort("_items").alias("items"), _merged(F.array_sort("_hits")).alias("spans"), "_copies",
     ).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * min_share >= F.col("n_words")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
-        doc_id, "n_words", "n_hit", "items", "spans", "contaminated"
+        doc_id, "text_hash", "n_words", "n_hit", "items", "spans", "contaminated"
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that are not contaminated, with all their columns. Options are those of the search."""
+    found = find_contamination(docs, items, doc_id, text, **options).where("contaminated")
+    bad = found.select(
+        F.col(doc_id).isNull().alias("_no_id"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_of"),
+        F.col("text_hash").alias("_hash"),
+    ).distinct()
+    keyed = docs.withColumns({
+        "_no_id": F.col(doc_id).isNull(), "_of": F.coalesce(F.col(doc_id), F.lit(0)),
+        "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+    })
+    return keyed.join(bad, ["_no_id", "_of", "_hash"], "left_anti").select(*docs.columns)
+
+
 def _probe(n) -> Column:
     """Hash of the `n` words from here on; null where fewer are left, so that it never matches."""
     fits = F.col("_at") + n <= F.size("_words")

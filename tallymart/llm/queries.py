@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import bpe, oracles, simhash, token_files
+from tallymart.llm import bpe, oracles, simhash, token_files, warc
 from tallymart.llm.common import read_table
 from tallymart.llm.decontamination import find_contamination
+from tallymart.llm.licenses import TEMPLATES, find_licenses, template_table
 from tallymart.llm.quality import judge
+from tallymart.llm.reputation import judge_urls
 from tallymart.llm.secrets import BASE_KINDS, find_secrets, listed
+from tallymart.llm.suffix_dedup import remove_repeats
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -88,3 +91,33 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined_sha256(F.col("ids").cast("array<string>"), " ").alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(read_table(spark, sf_dir, "documents"), template_table(spark, TEMPLATES))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"),
+    )
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+    return judged.drop("upper")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(read_table(spark, sf_dir, "pages"))
+    return warc.read_warc(manifest, with_payload=False).drop("url", "payload")
