@@ -47,7 +47,6 @@ class Config:
     # clusters
     ks: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     kmeans_restarts: int = 10
-    kmeans_sample: int = 10_000
 
     clv_days: int = 365
     margin: float = 1.0

@@ -16,7 +16,6 @@ from tallymart.config import Config
 from tallymart.operators.calendar import calendar_features
 from tallymart.operators.demand import CALENDAR, FEATURES, LAGS, MEANS, supervised
 from tallymart.operators.forecasting import BOOSTED, histories
-from tallymart.operators.joins import sized_partitions
 from tallymart.session import stage_table
 
 # Trees take no nulls. Logged demand is never negative, so this is a value of its own for a missing lag.
@@ -30,18 +29,24 @@ def fit(panel: DataFrame, config: Config, features: DataFrame | None = None) ->
     The panel has one row per series and week, so the training set is small at any data volume.
     """
     df = supervised(panel) if features is None else features
+    names = [r["series"] for r in df.select("series", "series_code").distinct().orderBy("series_code").collect()]
     df = df.where(F.col("lag_4").isNotNull()).fillna(MISSING, list(FEATURES[:-1])).withColumn(
-        "series_code", F.col("series_code").cast("double")
+        "series_code", F.col("series_code").cast("double").alias("series_code", metadata=nominal(names))
     )
     trees = GBTRegressor(
         featuresCol="features", labelCol="ly", predictionCol="predicted", maxIter=config.gbt_rounds,
         stepSize=config.gbt_step, maxDepth=config.gbt_depth, minInstancesPerNode=10, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", seed=config.seed, maxBins=64,
+        featureSubsetStrategy="0.8", seed=config.seed, maxBins=max(64, len(names)),
     )
     assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     return Pipeline(stages=[assembler, trees]).fit(df.select("ly", *FEATURES))
 
 
+def nominal(names: Sequence[str]) -> dict:
+    """Column metadata that makes trees treat codes as names without an order."""
+    return {"ml_attr": {"type": "nominal", "name": "series_code", "vals": list(names)}}
+
+
 def _step_features() -> dict[str, Column]:
     """Features of the next week from `tail`, the last logged values with the newest last."""
     def total(values: str) -> str:
@@ -114,7 +119,7 @@ def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], conf
 
     def one(fold: int) -> DataFrame:
         known = feats.where(F.col("week") <= F.lit(cutoffs[fold]))
-        model = fit(panel, config, sized_partitions(known))
+        model = fit(panel, config, known)
         if models is not None:
             models[fold] = model
         return stage_table(predict(model, hist.where(F.col("fold") == fold), horizon, holidays), f"boosted_{fold}")

@@ -15,16 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymart.config import Config
-from tallymart.operators.joins import sized_partitions
+from tallymart.session import stage_table
 
+# Inputs of the clusters.
 FEATURES = (
     "recency_days", "frequency", "monetary", "avg_order_value", "avg_items", "avg_review",
     "avg_delivery_days", "late_rate", "avg_installments", "freight_ratio",
 )
 SKEWED = ("frequency", "monetary", "avg_order_value", "avg_items", "avg_delivery_days")
 PARALLEL_FITS = 6
-# Stop when no centre moves further than this, in standard deviations.
-TOLERANCE = 5e-3
 
 
 def scaler() -> Pipeline:
@@ -51,8 +50,7 @@ def _fit_best(scaled: DataFrame, ks: list[int], config: Config) -> dict:
     """Per k the fitted model of least cost over the restarts; the first restart wins ties."""
     def fit(job):
         k, i = job
-        km = KMeans(k=k, seed=config.seed + i, featuresCol="scaled", predictionCol="cluster", maxIter=300,
-                    tol=TOLERANCE)
+        km = KMeans(k=k, seed=config.seed + i, featuresCol="scaled", predictionCol="cluster", maxIter=300)
         model = km.fit(scaled)
         return k, (model.summary.trainingCost, i), model
 
@@ -64,17 +62,9 @@ def _fit_best(scaled: DataFrame, ks: list[int], config: Config) -> dict:
     return best
 
 
-def sample_customers(features: DataFrame, config: Config) -> DataFrame:
-    """A fixed pseudo-random sample: the customers with the least hashes."""
-    return features.orderBy(F.xxhash64("customer_unique_id", F.lit(config.seed)), "customer_unique_id").limit(
-        config.kmeans_sample
-    )
-
-
 def choose_k(features: DataFrame, config: Config) -> DataFrame:
-    """Cost and silhouette per k on the sample."""
-    sample = sample_customers(features, config)
-    scaled = scaler().fit(sample).transform(sample).select("scaled").persist()
+    """Cost and silhouette per k over all customers: the squared Euclidean silhouette is linear in the rows."""
+    scaled = stage_table(scaler().fit(features).transform(features).select("scaled"), "scaled").persist()
     best = _fit_best(scaled, list(config.ks), config)
     evaluator = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
 
@@ -136,13 +126,13 @@ def named_profile(profile: DataFrame) -> DataFrame:
 
 
 def cluster(features: DataFrame, config: Config, k: int | None = None) -> Clusters:
-    """Assign every customer to one of k clusters; without k the best silhouette on a sample decides."""
+    """Assign every customer to one of k clusters; without k the best silhouette decides."""
     scores = None
     if k is None:
         scores = choose_k(features, config)
         k = best_k(scores)
     prepare = scaler().fit(features)
-    scaled = sized_partitions(prepare.transform(features).select("scaled")).persist()
+    scaled = stage_table(prepare.transform(features).select("scaled"), "scaled").persist()
     model = _fit_best(scaled, [k], config)[k][1]
     scaled.unpersist()
     full = PipelineModel(stages=[*prepare.stages, model])

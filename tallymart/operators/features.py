@@ -6,52 +6,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.config import Config
-from tallymart.functions.scalar import calendar_days, column_name, flag, log1p_clipped, mean, midnight, total
+from tallymart.functions.scalar import calendar_days, column_name, flag, log1p_clipped, midnight
 from tallymart.operators.ranking import medians
 from tallymart.session import stage_table
 
 
-def _per_snapshot(facts: DataFrame, snapshots: Column) -> DataFrame:
-    """Each order once for every snapshot it precedes. `snapshots` is an array of days."""
+# What a mean is taken of, by the name of the mean.
+MEANS = {
+    "avg_order_value": "payment_value", "avg_items": "n_items", "avg_freight": "freight_value",
+    "avg_review": "review_score", "avg_delivery_days": "delivery_days", "late_rate": "_late",
+    "avg_installments": "payment_installments", "credit_card_share": "_card",
+}
+
+
+def _ascending(snapshots: Column) -> Column:
+    return F.sort_array(F.array_distinct(snapshots))
+
+
+def _with_interval(facts: DataFrame, snapshots: Column) -> DataFrame:
+    """`_interval` is the number of snapshots at or before the order, which all later snapshots see.
+
+    Snapshots are nested, so an order is aggregated once, in its interval, and not once per snapshot.
+    """
     bought = F.col("order_purchase_timestamp")
-    later = F.filter(F.col("_snapshots"), lambda s: bought < midnight(s))
-    return facts.withColumn("_snapshots", snapshots).withColumn("snapshot", F.explode(later)).drop("_snapshots")
+    passed = F.size(F.filter(F.col("_days"), lambda s: midnight(s) <= bought))
+    dated = facts.where(bought.isNotNull()).withColumn("_days", _ascending(snapshots)).withColumn("_interval", passed)
+    return dated.where(F.col("_interval") < F.size("_days")).drop("_days")
+
+
+def _per_snapshot(aggregated: DataFrame, snapshots: Column) -> DataFrame:
+    """Each aggregate of an interval once for every snapshot after it."""
+    days = _ascending(snapshots)
+    later = F.explode(F.slice(days, F.col("_interval") + 1, F.size(days)))
+    return aggregated.withColumn("snapshot", later).drop("_interval")
 
 
 def customer_features(facts: DataFrame, config: Config, snapshots: Column | None = None) -> DataFrame:
     """One row per (snapshot, customer) from the orders before the snapshot.
 
     `snapshots` is an array of days (a literal or a scalar subquery); the default is the day after the last
-    order. All snapshots are computed in one shuffle. The aggregate is written once, since the medians that
-    fill the gaps read it again. Only the state and the average order value can be missing.
+    order. Orders are aggregated per interval between snapshots, and those aggregates are merged for each snapshot.
+    The result is written once, since the medians that fill the gaps read it again. Only the state and the average
+    order value can be missing.
     """
-    known = facts.where(F.col("customer_unique_id").isNotNull())
-    keys = ["customer_unique_id"]
-    if snapshots is not None:
-        known, keys = _per_snapshot(known, snapshots), ["snapshot", *keys]
+    key = "customer_unique_id"
+    df = facts.withColumns({
+        "_late": flag(F.col("is_late")), "_card": flag(F.col("payment_type") == config.card_type),
+        "_known_at": F.when(F.col("customer_state").isNotNull(), F.struct("order_purchase_timestamp", "order_id")),
+    })
+    if snapshots is None:
+        keys = [key]  # orders without a customer count for the last day, as a group that is dropped below
+    else:
+        df, keys = _with_interval(df.where(F.col(key).isNotNull()), snapshots), ["_interval", key]
     bought = F.col("order_purchase_timestamp")
-    known_at = F.when(F.col("customer_state").isNotNull(), F.struct("order_purchase_timestamp", "order_id"))
-    grouped = known.groupBy(*keys).agg(
-        F.min(bought).alias("first_order"),
-        F.max(bought).alias("last_order"),
+    sums = {*MEANS.values(), "n_categories"}
+    part = df.groupBy(*keys).agg(
+        F.min(bought).alias("first_order"), F.max(bought).alias("last_order"),
         F.count("order_id").alias("frequency"),  # order_id is unique in the facts
-        total("payment_value").alias("monetary"),
-        mean("payment_value").alias("avg_order_value"),
-        mean("n_items").alias("avg_items"),
-        mean("freight_value").alias("avg_freight"),
-        mean("review_score").alias("avg_review"),
-        mean("delivery_days").alias("avg_delivery_days"),
-        mean(flag(F.col("is_late"))).alias("late_rate"),
-        mean("payment_installments").alias("avg_installments"),
-        F.coalesce(F.sum("n_categories"), F.lit(0)).alias("n_categories"),
-        F.max_by("customer_state", known_at).alias("customer_state"),
-        mean(flag(F.col("payment_type") == config.card_type)).alias("credit_card_share"),
+        F.max_by("customer_state", "_known_at").alias("customer_state"), F.max("_known_at").alias("_known_at"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in sums], *[F.count(c).alias(f"_n_{c}") for c in sums],
+    )
+    if snapshots is not None:
+        keys = ["snapshot", key]
+        part = _per_snapshot(part, snapshots).groupBy(*keys).agg(
+            F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
+            F.sum("frequency").alias("frequency"), F.max_by("customer_state", "_known_at").alias("customer_state"),
+            *[F.sum(f"_{kind}_{c}").alias(f"_{kind}_{c}") for c in sums for kind in ("sum", "n")],
+        )
+    grouped = part.select(
+        *keys, "first_order", "last_order", "frequency",
+        F.coalesce("_sum_payment_value", F.lit(0)).cast("double").alias("monetary"),
+        *[F.try_divide(F.col(f"_sum_{c}").cast("double"), F.col(f"_n_{c}")).alias(n) for n, c in MEANS.items()],
+        F.coalesce("_sum_n_categories", F.lit(0)).alias("n_categories"), "customer_state",
     )
     raw = stage_table(grouped, "customer_features")
     if snapshots is None:
         # the default lies after every order, so it excludes none and can be read off the aggregate
         raw = raw.withColumn("snapshot", raw.agg(F.date_add(F.max(F.col("last_order").cast("date")), 1)).scalar())
-        raw = raw.select("snapshot", *grouped.columns)
+        raw = raw.where(F.col(key).isNotNull()).select("snapshot", *grouped.columns)
 
     mids = medians(raw, "snapshot", ["avg_review", "avg_delivery_days"]).select(
         "snapshot", F.col("avg_review").alias("_review"), F.col("avg_delivery_days").alias("_days")
@@ -71,8 +103,10 @@ def customer_features(facts: DataFrame, config: Config, snapshots: Column | None
 
 def main_category(items: DataFrame, snapshots: Column) -> DataFrame:
     """Per (snapshot, customer) the category bought most before the snapshot; ties go to the last name."""
-    before = _per_snapshot(items.where(F.col("customer_unique_id").isNotNull()), snapshots)
-    counts = before.groupBy("snapshot", "customer_unique_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    known = _with_interval(items.where(F.col("customer_unique_id").isNotNull()), snapshots)
+    part = known.groupBy("_interval", "customer_unique_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    counts = _per_snapshot(part, snapshots).groupBy("snapshot", "customer_unique_id", "category").agg(
+        F.sum("n").alias("n"))
     return counts.groupBy("snapshot", "customer_unique_id").agg(
         F.max(F.struct("n", "category"))["category"].alias("main_category")
     )

@@ -189,8 +189,9 @@ def rm_matrix(customers: DataFrame) -> DataFrame:
     return cells.fillna(0, [f"m{m}_customers" for m in range(1, 6)]).orderBy(F.desc("R"))
 
 
-def segment_cluster_crosstab(customers: DataFrame, cluster_names: list[str], segment_order: list[str]) -> DataFrame:
-    """Customers per segment and cluster; `cluster_names` (one per cluster) fixes the columns."""
+def segment_cluster_crosstab(customers: DataFrame, segment_order: list[str]) -> DataFrame:
+    """Customers per segment and cluster; every cluster name of the table (one per cluster) is a column."""
+    cluster_names = [r[0] for r in customers.select("cluster_name").distinct().orderBy("cluster_name").collect()]
     order = F.array_position(F.array(*[F.lit(s) for s in segment_order]), F.col("segment"))
     table = customers.groupBy("segment").pivot("cluster_name", cluster_names).count().fillna(0)
     return table.orderBy(order)

@@ -1,63 +1,17 @@
-"""Equi-joins that stay balanced when one key holds a large part of the rows."""
+"""Equi-joins of a large table with a table that is unique on the key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Below this estimated size every partition of the many side fits a task whatever its keys are.
-SKEW_CHECK_BYTES = 8 << 30
-# A key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 1000
-SPREAD = 512
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate, from file sizes and schemas. Runs no job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def sized_partitions(df: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
-    """Merge partitions that are far below the target size. For data that many short passes will read."""
-    return df.coalesce(max(1, -(-estimated_bytes(df) // target_bytes)))
-
-
-def many_to_one(
-    many: DataFrame, one: DataFrame, key: str, how: str = "left", check_bytes: int = SKEW_CHECK_BYTES
-) -> DataFrame:
+def many_to_one(many: DataFrame, one: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join `many` to `one` (unique on `key`), `how` being "left" or "inner".
 
-    Small inputs take a plain join, where Spark picks the strategy from its own size checks. Large ones have
-    their hot keys found first: fewer than HOT_SHARE rows of `one` belong to them, so those rows are
-    broadcast, and the hot rows of `many` are scattered over the shuffle instead of meeting in one task.
+    One plan at every size: each side is scanned once. Spark broadcasts `one` when its own size check allows, else
+    both sides are shuffled, and adaptive execution splits the partitions of hot keys (`session.build_session` makes
+    it do so even where that costs another exchange).
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type '{how}'")
-    if estimated_bytes(many) < check_bytes:
-        return many.join(one, key, how)
-
-    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = many.agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.where(F.col("_n") * HOT_SHARE > rows.scalar()).select(key)
-
-    rest = [c for c in one.columns if c != key]
-    hot_rows = one.join(F.broadcast(hot), key, "left_semi").select(
-        key, F.struct(*rest, F.lit(True).alias("_hit")).alias("_hot")
-    )
-    marked = many.join(F.broadcast(hot.withColumn("_is_hot", F.lit(True))), key, "left")
-    marked = marked.join(F.broadcast(hot_rows), key, "left")
-    # Hot rows and rows without a key need no partner from the shuffle: their key goes to null and the
-    # second join column spreads them.
-    done = F.col("_is_hot").isNotNull() | F.col(key).isNull()
-    marked = marked.withColumn("_key", F.when(~done, F.col(key))).withColumn(
-        "_spread", F.when(done, F.pmod(F.xxhash64(*many.columns), F.lit(SPREAD))).otherwise(F.lit(0))
-    )
-    cold = one.select(
-        F.col(key).alias("_key"), F.lit(0).cast("bigint").alias("_spread"),
-        F.struct(*rest, F.lit(True).alias("_hit")).alias("_cold"),
-    )
-    both = marked.join(cold, ["_key", "_spread"], "left").withColumn("_one", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        both = both.where(F.col("_one._hit"))
-    return both.select(*many.columns, *[F.col("_one")[c].alias(c) for c in rest])
+    return many.join(one, key, how)

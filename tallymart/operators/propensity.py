@@ -25,7 +25,6 @@ from tallymart.operators.features import (
     with_categories,
     with_state_flags,
 )
-from tallymart.operators.joins import sized_partitions
 from tallymart.operators.ranking import quintile, with_running_totals
 from tallymart.session import stage_table
 
@@ -71,8 +70,11 @@ def labelled(facts: DataFrame, items: DataFrame | None, cutoffs: Column, config:
         F.col("_cuts"),
         lambda c: (bought >= midnight(c)) & (bought < midnight(F.date_add(c, config.window_days))),
     )
+    # only the orders that some label window can hold
+    first, end = F.array_min(cutoffs), F.date_add(F.array_max(cutoffs), config.window_days)
     future = (
         facts.where(F.col("customer_unique_id").isNotNull())
+        .where((bought >= midnight(first)) & (bought < midnight(end)))
         .withColumn("_cuts", cutoffs)
         .select("customer_unique_id", F.explode(opened).alias("snapshot"))
         .distinct()
@@ -181,11 +183,9 @@ def train_and_evaluate(
     sets = stage_table(labelled(facts, items, days, config), "labelled")
     last = sets.agg(F.max("snapshot")).scalar()
     train, test = sets.where(F.col("snapshot") < last), sets.where(F.col("snapshot") == last)
-    rows = sized_partitions(train)
-
     def fit(job):
         name, pipeline = job
-        model = pipeline.fit(rows)
+        model = pipeline.fit(train)
         scored = stage_table(with_probability(model, test), f"scored_{name}")
         return name, model, binary_metrics(scored).select(F.lit(name).alias("model"), "*")
 

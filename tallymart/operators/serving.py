@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from tallymart.functions.scalar import total
 
+# Names of the interface.
 SORTS = ("clv_12m", "churn_risk", "p_repeat", "monetary", "recency_days")
 LIST_COLUMNS = (
     "customer_unique_id", "customer_state", "segment", "cluster_name", "frequency", "monetary", "recency_days",
     "p_repeat", "churn_risk", "risk_band", "clv_12m", "clv_tier",
 )
 TARGET_COLUMNS = tuple(c for c in LIST_COLUMNS if c != "churn_risk")
-TARGET_ROWS = 500
 
 
 def _available(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -46,8 +46,8 @@ def customer_list(
     """The first `limit` customers by `sort_by`, highest first, each with the total number that match."""
     if sort_by not in SORTS:
         raise ValueError(f"sort_by must be one of {', '.join(SORTS)}")
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be in 1..1000")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     found = filter_customers(
         customers, *[[v] if v else [] for v in (segment, risk_band, clv_tier)]
     )
@@ -62,14 +62,15 @@ def target_list(
     risk_bands: Sequence[str] = (),
     clv_tiers: Sequence[str] = (),
     sort_by: str = "clv_12m",
+    limit: int | None = None,
 ) -> DataFrame:
-    """The first 500 matching customers: most recent first for recency, else highest first."""
+    """The matching customers, most recent first for recency, else highest first; the first `limit` if given."""
     if sort_by not in SORTS:
         raise ValueError(f"sort_by must be one of {', '.join(SORTS)}")
     found = filter_customers(customers, segments, risk_bands, clv_tiers)
     key = F.asc(sort_by) if sort_by == "recency_days" else F.desc(sort_by)
-    first = found.orderBy(key, "customer_unique_id").limit(TARGET_ROWS)
-    return first.select(*_available(customers, TARGET_COLUMNS))
+    ranked = found.orderBy(key, "customer_unique_id").select(*_available(customers, TARGET_COLUMNS))
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def target_summary(customers: DataFrame, *filters: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from tallymart.functions.scalar import month_start
 from tallymart.operators import affinity, insights
 from tallymart.operators.warehouse import Warehouse
 from tallymart.plans import customers, forecasts
+from tallymart.session import staging_scope
 from tallymart.sources.tables import read_table, write_csv, write_json, write_model, write_tables
 
 STAGES = ("warehouse", "forecasting", "customers", "insights")
@@ -21,15 +22,17 @@ class StoredWarehouse(Warehouse):
     """A warehouse that an earlier run has written."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self._spark, self._folder = spark, folder
+        self._spark, self._folder, self._opened = spark, folder, {}
 
     def staged(self, *names: str) -> Warehouse:
         return self
 
     def __getattribute__(self, name):
         if name in Warehouse.NAMES:
-            df = read_table(self._spark, self._folder, name)
-            return df.drop("order_month") if name in FACTS else df
+            if name not in self._opened:  # files are listed and their schema is read once
+                df = read_table(self._spark, self._folder, name)
+                self._opened[name] = df.drop("order_month") if name in FACTS else df
+            return self._opened[name]
         return super().__getattribute__(name)
 
 
@@ -79,7 +82,11 @@ def run(
         raise ValueError(f"unknown stages {sorted(unknown)}; options: {', '.join(STAGES)}")
     if "warehouse" in stages:
         write_warehouse(Warehouse(sources, config, holidays), folder, by_month)
-    stored = StoredWarehouse(spark, folder)
+    with staging_scope(spark):
+        _run_on(StoredWarehouse(spark, folder), spark, folder, config, stages, holidays, k)
+
+
+def _run_on(stored, spark, folder, config, stages, holidays, k) -> None:
     write_json(insights.kpis(stored.fact_orders, stored.dim_customer), folder, "kpis")
 
     if "forecasting" in stages:

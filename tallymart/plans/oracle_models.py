@@ -445,6 +445,12 @@ ORDER BY clv_12m DESC, customer_unique_id LIMIT 1000""", *MASTER_CTES),
 SELECT {LIST_COLUMNS.replace('churn_risk, ', '')} FROM master
 WHERE segment IN ('At Risk', 'Loyal', 'Lost') AND risk_band IN ('very high', 'high', 'low')
 ORDER BY recency_days, customer_unique_id LIMIT 500""", *MASTER_CTES),
+    "target_export": star(f"""
+SELECT {LIST_COLUMNS.replace('churn_risk, ', '')} FROM master
+WHERE segment IN ('At Risk', 'Loyal', 'Lost') AND risk_band IN ('very high', 'high', 'low')""", *MASTER_CTES),
+    "customer_lookup": star("""
+SELECT customer_unique_id, frequency, round(monetary, 4) AS monetary, segment, clv_tier FROM master
+ORDER BY monetary DESC, customer_unique_id LIMIT 1""", *MASTER_CTES),
     "target_summary": star("""
 SELECT count(*) AS matched, round(sum(clv_12m), 4) AS expected_clv, round(sum(p_repeat), 6) AS expected_repeaters
 FROM master WHERE segment IN ('At Risk', 'Loyal', 'Lost') AND risk_band IN ('very high', 'high', 'low')""",

@@ -381,13 +381,19 @@ def _customer_queries() -> dict[str, Query]:
         return lambda spark, d: show(fn(master(spark, d)), digits, only)
 
     def crosstab(m):
-        names = ["Repeat buyers", *[f"Repeat buyers {i}" for i in range(2, 6)]]
-        return insights.segment_cluster_crosstab(m, names, rfm.SEGMENT_ORDER)
+        return insights.segment_cluster_crosstab(m, rfm.SEGMENT_ORDER)
+
+    def customer_lookup(spark, d):
+        m = master(spark, d)
+        # the customer of the largest value, by id
+        best = m.orderBy(F.desc("monetary"), "customer_unique_id").first()
+        found = serving.customer_by_id(m, best["customer_unique_id"] if best else None)
+        return show(found.select("customer_unique_id", "frequency", "monetary", "segment", "clv_tier"), 4, ("monetary",))
 
     wanted = (["At Risk", "Loyal", "Lost"], ["very high", "high", "low"])
 
     def kmeans_clusters(spark, d):
-        return show(clusters.cluster(features_now(spark, d), CONFIG, k=4).assigned)
+        return show(clusters.cluster(features_now(spark, d), CONFIG).assigned)
 
     def choose_k(spark, d):
         return show(clusters.choose_k(features_now(spark, d), CONFIG), 6)
@@ -406,7 +412,7 @@ def _customer_queries() -> dict[str, Query]:
         return tables.json_safe(df)
 
     def customers_master(spark, d):
-        return show(customers.build(star(spark, d), CONFIG, k=4).customers, 6)
+        return show(customers.build(star(spark, d), CONFIG).customers, 6)
 
     return {
         "customer_features": lambda spark, d: show(features_now(spark, d)),
@@ -452,7 +458,9 @@ def _customer_queries() -> dict[str, Query]:
         "rm_matrix": on_master(insights.rm_matrix, clv_digits),
         "segment_cluster_crosstab": on_master(crosstab),
         "customer_list": on_master(lambda m: serving.customer_list(m, segment="Champions", limit=1000)),
-        "target_list": on_master(lambda m: serving.target_list(m, *wanted, sort_by="recency_days")),
+        "target_list": on_master(lambda m: serving.target_list(m, *wanted, sort_by="recency_days", limit=500)),
+        "target_export": on_master(lambda m: serving.target_list(m, *wanted, sort_by="recency_days")),
+        "customer_lookup": customer_lookup,
         "target_summary": lambda spark, d: show(_rounded(
             serving.target_summary(master(spark, d), *wanted), {"expected_clv": 4, "expected_repeaters": 6}
         )),

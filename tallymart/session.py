@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,8 @@ def build_session(app: str = "tallymart", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # split hot keys also where a join is followed by work on the same key
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.ui.enabled": "false",
         # plans here have many columns: do not record the call site of each one
         "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -44,6 +48,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+_scopes: list[str] = []
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, also after an error, what was staged inside it."""
+    _scopes.append(f"{staging_root(spark)}/scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def staging_root(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared scratch area and read it back.
 
@@ -51,19 +77,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     with column pruning. It runs one job when called.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    root = _scopes[-1] if _scopes else staging_root(spark)
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application."""
-    root = f"{scratch_dir(spark)}/staged/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging_root(spark))
 
 
-def local_parallelism(spark: SparkSession, cap: int = 256) -> int:
+def local_parallelism(spark: SparkSession) -> int:
     """Partition count for small frames whose rows are expensive to compute."""
-    return max(1, min(spark.sparkContext.defaultParallelism, cap))
+    return max(1, spark.sparkContext.defaultParallelism)

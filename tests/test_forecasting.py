@@ -146,3 +146,19 @@ def test_lookup_errors(spark):
             evaluation.forecast_lookup(fc, panel, lb, **args)
     with pytest.raises(ValueError):
         evaluation.forecast_lookup(fc, panel, lb, "s", horizon=9)
+
+
+def test_series_code_is_a_name_to_the_trees(spark):
+    from tallymart.config import Config
+    from tallymart.operators import boosted
+
+    rng = range(60)
+    panel = panel_of(spark, [5 + i % 3 for i in rng], "a")
+    for name, level in (("b", 90), ("c", 7), ("d", 80)):
+        panel = panel.unionByName(panel_of(spark, [level + i % 3 for i in rng], name))
+    model = boosted.fit(panel, Config(gbt_rounds=2))
+    code = len(boosted.FEATURES) - 1
+    assert boosted.FEATURES[code] == "series_code"
+    assert boosted.nominal(["x", "y"])["ml_attr"]["vals"] == ["x", "y"]
+    text = model.stages[-1].toDebugString
+    assert f"feature {code} <=" not in text  # a set of names splits, never an order of codes
