@@ -60,17 +60,34 @@ class Chunk(NamedTuple):
     starts: dict[int, int]  # of the first tokens: character -> place in ids
 
 
+def _byte_letters() -> dict[str, str]:
+    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {chr(b): chr(b if b in printable else next(others)) for b in range(0x100)}
+
+
+BYTE_LETTERS = str.maketrans(_byte_letters())
+
+
 class _Words(dict):
-    """Pre-token -> its ids as bytes, encoded by the library when first met."""
+    """Pre-token -> its ids as bytes, merged by the library's model when first met.
+
+    Two generations: when the younger is full it becomes the older, from which words in use come back.
+    """
 
-    def __init__(self, tokenizer):
+    def __init__(self, model):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.model, self.older = model, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MAX_WORDS:
+        ids = self.older.get(word)
+        if ids is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(self) >= MAX_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
@@ -87,7 +104,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(self.tokenizer)
+        self.words = _Words(self.tokenizer.model)
         self.chunks: dict[str, Chunk] = {}
         self.counts = {"chunks": 0, "reused": 0, "whole": 0}
 
