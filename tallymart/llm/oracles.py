@@ -50,10 +50,10 @@ def _located(source: str, pattern: str, kind: str, rank: int, keep: str = "true"
     """Matches of a pattern with their places: lengths of the gaps and matches before them add up."""
     p = _quoted(pattern)
     return f"""
-    SELECT doc_id, {rank} AS rank, {_quoted(kind)} AS kind, v, at, at + length(v) AS upto FROM (
+    SELECT doc_id, {rank} AS rank, {_quoted(kind)} AS kind, v, pos, pos + length(v) AS upto FROM (
         SELECT doc_id, vals[i] AS v,
                CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
-                    + coalesce(list_sum(list_transform(vals[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS at
+                    + coalesce(list_sum(list_transform(vals[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
         FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS vals, string_split_regex(text, {p}) AS gaps
               FROM {source}), unnest(range(1, len(vals) + 1)) AS t(i)
     ) WHERE {keep}"""
@@ -62,21 +62,21 @@ def _located(source: str, pattern: str, kind: str, rank: int, keep: str = "true"
 def _entropy(c: secrets.EntropyClass, rank: int) -> str:
     needs = " AND ".join(f"regexp_matches(v, {_quoted(n)})" for n in c.needs)
     allowed = " AND ".join(f"NOT regexp_matches(v, {_quoted(a)})" for a in secrets.ALLOWED)
-    before = f"substr(text, greatest(at - {secrets.BEFORE}, 0) + 1, at - greatest(at - {secrets.BEFORE}, 0))"
+    before = f"substr(text, greatest(pos - {secrets.BEFORE}, 0) + 1, pos - greatest(pos - {secrets.BEFORE}, 0))"
     terms = "[" + ", ".join(map(str, c.terms)) + "]"
     return f"""
-    SELECT doc_id, {rank} AS rank, '{c.kind}' AS kind, at + min(k) AS at, at + max(k) + {c.window} AS upto FROM (
-        SELECT doc_id, at, k, sum(fresh) OVER (PARTITION BY doc_id, at ORDER BY k) AS run FROM (
-            SELECT doc_id, at, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id, at ORDER BY k) + {c.window}
+    SELECT doc_id, {rank} AS rank, '{c.kind}' AS kind, pos + min(k) AS pos, pos + max(k) + {c.window} AS upto FROM (
+        SELECT doc_id, pos, k, sum(fresh) OVER (PARTITION BY doc_id, pos ORDER BY k) AS run FROM (
+            SELECT doc_id, pos, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id, pos ORDER BY k) + {c.window}
                                   THEN 0 ELSE 1 END AS fresh
-            FROM (SELECT doc_id, at, k, string_split(v[k + 1:k + {c.window}], '') AS chars
+            FROM (SELECT doc_id, pos, k, string_split(v[k + 1:k + {c.window}], '') AS chars
                   FROM ({_located("d", c.pattern, c.kind, rank)}) JOIN d USING (doc_id),
                        unnest(range(0, length(v) - {c.window} + 1)) AS t(k)
                   WHERE {needs} AND {allowed} AND NOT regexp_matches({before}, {_quoted(secrets.ALLOWED_BEFORE)}))
             WHERE list_sum(list_transform(list_distinct(chars),
                 lambda ch: {terms}[len(list_filter(chars, lambda x: x = ch)) + 1])) <= {c.limit}
         )
-    ) GROUP BY doc_id, at, run"""
+    ) GROUP BY doc_id, pos, run"""
 
 
 def _secrets() -> str:
@@ -86,15 +86,15 @@ def _secrets() -> str:
         _located("d", "[0-9a-f]+", "hex", 2, "length(v) >= 24"),
     ]
     added = [_entropy(c, len(base) + i) for i, c in enumerate(secrets.ENTROPY_CLASSES)]
-    listed = "string_agg(kind || ':' || at || ':' || upto, ',' ORDER BY at, rank)"
+    listed = "string_agg(kind || ':' || pos || ':' || upto, ',' ORDER BY pos, rank)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({" UNION ALL ".join(base)}),
 added AS ({" UNION ALL ".join(added)}),
 spans AS (
-    SELECT doc_id, rank, kind, at, upto FROM base
-    UNION ALL SELECT doc_id, rank, kind, at, upto FROM added a WHERE NOT EXISTS (
-        SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.at <= a.at AND b.upto >= a.upto)
+    SELECT doc_id, rank, kind, pos, upto FROM base
+    UNION ALL SELECT doc_id, rank, kind, pos, upto FROM added a WHERE NOT EXISTS (
+        SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.pos <= a.pos AND b.upto >= a.upto)
 ),
 found AS (
     SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access,
@@ -116,13 +116,13 @@ WITH t AS (SELECT license, {grams} AS g FROM (
     SELECT license, {_alnum_words("text")} AS w FROM (VALUES {rows}) AS v(license, text))),
 d AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {_alnum_words("text")} AS w FROM documents)),
 places AS (SELECT license, g AS template, len(g) AS n, i - 1 AS place, g[i] AS gram FROM t, unnest(range(1, len(g) + 1)) AS u(i)),
+grams AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS pos FROM d),
 hits AS (
-    SELECT doc_id, license, template, n, at - 1 - place AS start, d.g AS g
-    FROM d, unnest(range(1, len(g) + 1)) AS u(at) JOIN places ON gram = d.g[at]
+    SELECT DISTINCT doc_id, license, template, n, pos - place AS start FROM grams JOIN places USING (gram)
 ),
 found AS (
     SELECT DISTINCT doc_id, license FROM (
-        SELECT *, greatest(8, CAST(ceil(n / 4) AS BIGINT)) AS slack FROM hits
+        SELECT *, greatest(8, CAST(ceil(n / 4) AS BIGINT)) AS slack FROM hits JOIN d USING (doc_id)
     ) WHERE len(list_intersect(template, g[greatest(start - slack, 0) + 1:start + n + slack]))
             >= {licenses.CONTAINMENT} * len(list_distinct(template))
 ),
