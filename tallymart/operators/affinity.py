@@ -24,8 +24,13 @@ def basket_sets(items: DataFrame, level: str) -> DataFrame:
     return baskets.groupBy("cats").agg(F.count(F.lit(1)).alias("baskets"))
 
 
-def category_affinity(items: DataFrame, level: str = "order", min_pair_count: int = 5) -> DataFrame:
-    """Rules A -> B with support, confidence and lift, highest lift first. Runs one job when called."""
+def category_affinity(
+    items: DataFrame, level: str = "order", min_pair_count: int = 5, min_support: float = 0.0
+) -> DataFrame:
+    """Rules A -> B with support, confidence and lift, highest lift first. Runs one job when called.
+
+    A pair needs both the count and the share of all baskets.
+    """
     sets = stage_table(basket_sets(items, level), "basket_sets")  # read three times below
     n = sets.agg(F.sum("baskets")).scalar()
     single = sets.select(F.explode("cats").alias("category"), "baskets").groupBy("category").agg(
@@ -38,7 +43,7 @@ def category_affinity(items: DataFrame, level: str = "order", min_pair_count: in
         .select("a", "baskets", F.explode(F.expr("slice(cats, at + 2, size(cats))")).alias("b"))
         .groupBy("a", "b")
         .agg(F.sum("baskets").alias("pair_count"))
-        .where(F.col("pair_count") >= min_pair_count)
+        .where((F.col("pair_count") >= min_pair_count) & (F.col("pair_count") >= n * F.lit(min_support)))
     )
     sides = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
                     F.struct(F.col("b").alias("x"), F.col("a").alias("y")))

@@ -99,8 +99,11 @@ def forecast_lookup(
 
     Rows carry kind `history` (y) or `forecast` (yhat, lower, upper).
     """
-    if not (1 <= horizon <= 8 and 0 <= history_weeks <= 104):
-        raise ValueError("horizon must be in 1..8 and history_weeks in 0..104")
+    if horizon < 1 or history_weeks < 0:
+        raise ValueError("horizon must be at least 1 and history_weeks at least 0")
+    longest = forecast.agg(F.max("h")).first()[0] or horizon
+    if horizon > longest:
+        raise ValueError(f"the forecast ends at horizon {longest}")
     if series is not None:
         forecast, panel = (df.where(F.col("series") == series) for df in (forecast, panel))
     chosen = forecast.where(F.col("is_best") if model == "best" else F.col("model") == model)

@@ -161,7 +161,8 @@ singles AS (SELECT category, count(*) AS c FROM baskets GROUP BY category),
 n_baskets AS (SELECT count(DISTINCT k) AS n FROM baskets),
 pairs AS (SELECT x.category AS antecedent, y.category AS consequent, count(*) AS pair_count
           FROM baskets x JOIN baskets y ON x.k = y.k AND x.category <> y.category
-          GROUP BY 1, 2 HAVING count(*) >= {least})"""
+          GROUP BY 1, 2
+          HAVING count(*) >= {least} AND count(*) >= {support}::DOUBLE * (SELECT n FROM n_baskets))"""
 AFFINITY_SELECT = """
 SELECT antecedent, consequent, pair_count, pair_count / n AS support,
        pair_count / a.c AS confidence, (pair_count / a.c) / (b.c / n) AS lift
@@ -423,10 +424,10 @@ SELECT frequency, count(*) AS customers, round(avg(p_repeat), 9) AS avg_p_repeat
     "cluster_profile": star(f"""
 SELECT cluster::BIGINT AS cluster, cluster_name, customers,
        {', '.join(f'round({c}, 4) AS {c}' for c in PROFILE_FEATURES)} FROM clusters""", NOW_FEATURES, CLUSTERS),
-    "affinity_order": star(AFFINITY_SELECT, AFFINITY.format(key="order_id", least=60)),
-    "affinity_customer": star(AFFINITY_SELECT, AFFINITY.format(key="customer_unique_id", least=150)),
+    "affinity_order": star(AFFINITY_SELECT, AFFINITY.format(key="order_id", least=5, support=0.0215)),
+    "affinity_customer": star(AFFINITY_SELECT, AFFINITY.format(key="customer_unique_id", least=5, support=0.18)),
     "affinity_top": star(AFFINITY_SELECT + " ORDER BY lift DESC, pair_count DESC, antecedent, consequent LIMIT 20",
-                         AFFINITY.format(key="customer_unique_id", least=5)),
+                         AFFINITY.format(key="customer_unique_id", least=5, support=0)),
     "clv_by_segment": star("""
 SELECT segment, count(*) AS customers, round(avg(clv_12m), 4) AS avg_clv, round(sum(clv_12m), 4) AS total_clv,
        round(avg(p_repeat), 9) AS p_repeat FROM master GROUP BY segment""", *MASTER_CTES),

@@ -398,8 +398,8 @@ def _customer_queries() -> dict[str, Query]:
     def choose_k(spark, d):
         return show(clusters.choose_k(features_now(spark, d), CONFIG), 6)
 
-    def affinity_of(level, least):
-        return lambda spark, d: affinity.category_affinity(star(spark, d).fact_order_items, level, least)
+    def affinity_of(level, least, support=0.0):
+        return lambda spark, d: affinity.category_affinity(star(spark, d).fact_order_items, level, least, support)
 
     def affinity_top(spark, d):
         rules = affinity_of("customer", CONFIG.min_pair_count)(spark, d)
@@ -449,8 +449,8 @@ def _customer_queries() -> dict[str, Query]:
         "kmeans_clusters": kmeans_clusters,
         "choose_k": choose_k,
         "cluster_profile": cluster_profile,
-        "affinity_order": affinity_of("order", 60),
-        "affinity_customer": affinity_of("customer", 150),
+        "affinity_order": affinity_of("order", CONFIG.min_pair_count, 0.0215),
+        "affinity_customer": affinity_of("customer", CONFIG.min_pair_count, 0.18),
         "affinity_top": affinity_top,
         "clv_by_segment": lambda spark, d: show(_rounded(
             insights.clv_by_segment(master(spark, d)), {"avg_clv": 4, "total_clv": 4, "p_repeat": 9}

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from oracle_check import compare, oracle_connection
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+FEW_ORDERS = {"busy_states"}  # no state has 200 orders in the smallest tables
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 
 
@@ -22,6 +23,8 @@ def test_every_oracle_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, sf_dir, con, name):
+    if name not in FEW_ORDERS:
+        assert con.execute(f"SELECT count(*) > 0 FROM ({ORACLES[name]})").fetchone()[0], "the oracle has no rows"
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
 
 
