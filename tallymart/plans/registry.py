@@ -59,9 +59,22 @@ def show(df: DataFrame, digits: int | None = None, only: tuple[str, ...] = ()) -
 _kept: dict[str, Warehouse] = {}
 
 
+_fitted: dict[tuple[str, str, str], object] = {}
+
+
 def serve_from(sf_dir: str, stored: Warehouse) -> None:
     """Let the queries on this folder read a stored star schema instead of planning it from the sources."""
     _kept[sf_dir] = stored
+    for key in [k for k in _fitted if k[1] == sf_dir]:
+        del _fitted[key]
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
+    """What `make` fits, kept for the other queries of this application on the same folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _fitted:
+        _fitted[key] = make()
+    return _fitted[key]
 
 
 def star(spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -228,15 +241,19 @@ def _demand_queries() -> dict[str, Query]:
             return show(fn(final(p), p), 6)
         return run
 
-    def boosted_config(panel, horizon, folds):
-        return boosted.boosted_forecasts(panel, horizon, folds, CONFIG)
+    def boosted_final(spark, d):
+        """The forecast of the last fold, which two queries read."""
+        return once(spark, d, "boosted", lambda: boosted.boosted_forecasts(
+            _history_parts(spark, d), CONFIG.horizon, [0], CONFIG))
 
     def fc_gbt_global(spark, d):
-        fc = boosted_config(_history_parts(spark, d), CONFIG.horizon, [0])
-        return show(fc.select("series", "week", "h", "yhat"), 6)
+        return show(boosted_final(spark, d).select("series", "week", "h", "yhat"), 6)
 
     def fc_ensemble(spark, d):
-        fc = forecasting.forecast_all(_history_parts(spark, d), CONFIG.horizon, [0], boosted=boosted_config)
+        def fitted(panel, horizon, folds):
+            return boosted_final(spark, d)
+
+        fc = forecasting.forecast_all(_history_parts(spark, d), CONFIG.horizon, [0], boosted=fitted)
         ours = fc.where(F.col("model") == forecasting.ENSEMBLE)
         return show(ours.select("series", "week", "h", "yhat"), 6)
 
@@ -310,14 +327,15 @@ def _customer_queries() -> dict[str, Query]:
         w = star(spark, d).staged("fact_orders")
         return _fixed_score(propensity.labelled(w.fact_orders, None, F.array(F.lit(TEST_CUTOFF)), CONFIG))
 
-    def churn_train(spark, d):
-        w = star(spark, d).staged("fact_orders")
-        done = propensity.train_and_evaluate(w.fact_orders, w.fact_order_items, CONFIG)
-        return show(done.metrics, 6)
-
     def trained(spark, d):
-        w = star(spark, d).staged("fact_orders")
-        return w, propensity.train_and_evaluate(w.fact_orders, w.fact_order_items, CONFIG)
+        def fit():
+            w = star(spark, d).staged("fact_orders")
+            return w, propensity.train_and_evaluate(w.fact_orders, w.fact_order_items, CONFIG)
+
+        return once(spark, d, "propensity", fit)
+
+    def churn_train(spark, d):
+        return show(trained(spark, d)[1].metrics, 6)
 
     def churn_importance(spark, d):
         return show(propensity.importance(trained(spark, d)[1].model, CONFIG), 6)
@@ -392,11 +410,14 @@ def _customer_queries() -> dict[str, Query]:
 
     wanted = (["At Risk", "Loyal", "Lost"], ["very high", "high", "low"])
 
+    def k_scores(spark, d):
+        return once(spark, d, "k", lambda: clusters.choose_k(features_now(spark, d), CONFIG))
+
     def kmeans_clusters(spark, d):
-        return show(clusters.cluster(features_now(spark, d), CONFIG).assigned)
+        return show(clusters.cluster(features_now(spark, d), CONFIG, clusters.best_k(k_scores(spark, d))).assigned)
 
     def choose_k(spark, d):
-        return show(clusters.choose_k(features_now(spark, d), CONFIG), 6)
+        return show(k_scores(spark, d), 6)
 
     def affinity_of(level, least, support=0.0):
         return lambda spark, d: affinity.category_affinity(star(spark, d).fact_order_items, level, least, support)
@@ -412,7 +433,7 @@ def _customer_queries() -> dict[str, Query]:
         return tables.json_safe(df)
 
     def customers_master(spark, d):
-        return show(customers.build(star(spark, d), CONFIG).customers, 6)
+        return show(customers.build(star(spark, d), CONFIG, clusters.best_k(k_scores(spark, d))).customers, 6)
 
     return {
         "customer_features": lambda spark, d: show(features_now(spark, d)),
