@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,17 @@ SHARD_BYTES, BLOCK, PLACE_BITS = 3 << 20, 1 << 22, 23
 WHO = ["_no_id", "_of", "_hash"]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The identified rows with their text compressed, for joins that move all texts."""
+
+    @F.arrow_udf("binary")
+    def pack(column: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pa.array([squeeze(t.as_py().encode()) for t in column], pa.binary())
+
+    return docs.select("_id", *WHO, pack("_text").alias("_packed"))
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A mixed 64-bit hash of the GRAM bytes from each place on."""
     h, span, base = data.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
@@ -102,10 +114,19 @@ def repeated_starts(docs: DataFrame, cut: DataFrame, span: int = SPAN, shard_byt
     )
     blocks = F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("_blocks")
     wanted = distinct.join(shared.where("kinds > 1").select("anchor", blocks), "anchor")
-    text = docs.select(*WHO, F.encode("_text", "UTF-8").alias("_bytes"))
-    with_text = text.join(wanted, WHO).select(
-        "anchor", "digest", "times", "_blocks",
-        F.substring("_bytes", F.col("first") + 1, F.col("many") + span - 1).alias("segment"),
+
+    @F.arrow_udf("binary")
+    def cut_out(packs: pa.Array, first: pa.Array, many: pa.Array) -> pa.Array:
+        out, last, data = [], None, b""
+        for pack, a, n in zip(packs, first.to_pylist(), many.to_pylist(), strict=True):
+            pack = pack.as_py()
+            if pack != last:  # rows of one document follow each other
+                last, data = pack, zstandard.decompress(pack)
+            out.append(data[a:a + n + span - 1])
+        return pa.array(out, pa.binary())
+
+    with_text = packed(docs).join(wanted, WHO).select(
+        "anchor", "digest", "times", "_blocks", cut_out("_packed", "first", "many").alias("segment")
     )
     own = F.pmod(F.col("digest"), F.col("_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
@@ -208,22 +229,21 @@ def remove_repeats(
     )
     spans = hits.groupBy(*WHO).agg(F.array_sort(F.collect_set("hit")).alias("_hits"))
 
-    @F.arrow_udf("struct<spans:array<struct<start:int,end:int>>,kept:binary>")
-    def without(texts: pa.Array, found: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<n_bytes:long,spans:array<struct<start:int,end:int>>,kept:binary>")
+    def without(packs: pa.Array, found: pa.Array) -> pa.Array:
         rows = []
-        for value, runs_ in zip(texts, found, strict=True):
-            data, merged = value.as_py().encode(), []
+        for value, runs_ in zip(packs, found, strict=True):
+            data, merged = zstandard.decompress(value.as_py()), []
             for hit in runs_.as_py() or []:
                 if merged and hit["start"] <= merged[-1]["end"]:
                     merged[-1]["end"] = max(merged[-1]["end"], hit["end"])
                 else:
                     merged.append(dict(hit))
             stops = [0, *[x for m in merged for x in (m["start"], m["end"])], len(data)]
-            rows.append({"spans": merged, "kept": b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True))})
+            kept = b"".join(data[a:b] for a, b in zip(stops[::2], stops[1::2], strict=True))
+            rows.append({"n_bytes": len(data), "spans": merged, "kept": kept})
         item = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.array(rows, pa.struct([("spans", item), ("kept", pa.binary())]))
+        return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("spans", item), ("kept", pa.binary())]))
 
-    joined = known.join(spans, WHO, "left").withColumn("_out", without("_text", "_hits"))
-    return joined.select(
-        F.col("_id").alias(doc_id), F.octet_length("_text").cast("long").alias("n_bytes"), "_out.spans", "_out.kept"
-    )
+    joined = packed(known).join(spans, WHO, "left").withColumn("_out", without("_packed", "_hits"))
+    return joined.select(F.col("_id").alias(doc_id), "_out.n_bytes", "_out.spans", "_out.kept")
