@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import alnum_words
+from tallymart.llm.common import alnum_words, identity
 
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Shingles of a window, words from one window to the next, and bands of one permutation each.
@@ -73,22 +73,33 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]]) -
 
 
 def shingles(words: Column) -> Column:
-    """Hashes of the runs of five words; none where there are fewer."""
+    """Hashes of the runs of five words; none where there are fewer. `words` is a column: it is read at each word."""
     n = F.size(words) - SHINGLE + 1
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
 
 
-def signature(hashes: Column, at: Column) -> Column:
-    """Per band the least hash, under the band's permutation, of the shingles from `at` (0-based) on."""
+def with_shingles(df: DataFrame, text: str) -> DataFrame:
+    return df.withColumn("_words", alnum_words(F.col(text))).withColumn("_hashes", shingles(F.col("_words"))).drop("_words")
+
+
+def signature(window: Column) -> Column:
+    """Per band the least hash, under the band's permutation, of the window's shingles."""
     bands = []
     for band in range(BANDS):
-        # past the end there is no shingle: null, which least() passes over
-        moved = [F.when(at + k < F.size(hashes), F.xxhash64(F.get(hashes, at + k), F.lit(band))) for k in range(WINDOW)]
+        # windows at the end have fewer shingles: null, which least() passes over
+        moved = [F.when(F.size(window) > k, F.xxhash64(F.get(window, F.lit(k)), F.lit(band))) for k in range(WINDOW)]
         bands.append(F.least(*moved))
     return F.array(*bands)
 
 
+def windows_of(hashes: Column, stride: int) -> Column:
+    """The windows that start at every `stride`-th shingle."""
+    n = F.size(hashes)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(hashes, i, WINDOW))
+
+
 def slack(n_shingles: Column) -> Column:
     """Words around the aligned place in which a template's shingles are looked for."""
     return F.greatest(F.lit(8), F.ceil(n_shingles / 4).cast("int"))
@@ -96,11 +107,12 @@ def slack(n_shingles: Column) -> Column:
 
 def template_windows(templates: DataFrame) -> DataFrame:
     """`sig` -> `license`, the template's distinct shingles, its length and the window's place in it."""
-    cut = templates.select("license", shingles(alnum_words(F.col("text"))).alias("all")).where("size(all) > 0")
-    placed = cut.select("license", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("place"))
+    cut = with_shingles(templates, "text").select("license", F.col("_hashes").alias("all"))
+    placed = cut.select("license", "all", F.posexplode_outer(windows_of(F.col("all"), 1)).alias("place", "window"))
+    placed = placed.where(F.col("place").isNotNull())
     return placed.select(
         "license", F.array_distinct("all").alias("template"), F.size("all").alias("length"), "place",
-        F.explode(signature(F.col("all"), F.col("place"))).alias("sig"),
+        F.explode(signature(F.col("window"))).alias("sig"),
     ).distinct()
 
 
@@ -109,40 +121,37 @@ def find_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
 
     A template of fewer than five words cannot be found. Null, empty and short texts have no licence. Repeated rows
     each keep a result row; null ids stay. Other columns are ignored. Without templates nothing is found.
+
+    Windows travel without their document; what they hit is gathered per document, a template once per place, and
+    meets the document in a join for the exact check.
     """
-    windows = template_windows(templates).withColumnsRenamed({c: f"_{c}" for c in ("license", "template", "length", "place")})
-    if windows.count() <= MAX_BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    body = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(
-        F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_text"), shingles(alnum_words(F.col(text))).alias("_hashes")
-    )
-    last = F.greatest(F.size("_hashes"), F.lit(0))
-    # windows start every STRIDE words; a negative place is the closing row that every document keeps
-    places = F.concat(F.array(F.lit(-1)), F.when(last > 0, F.sequence(F.lit(0), last - 1, F.lit(STRIDE))).otherwise(
-        F.array().cast("array<int>")))
-    at = cut.select("_id", "_text", "_hashes", F.explode(places).alias("_at"))
-    signed = F.when(F.col("_at") >= 0, signature(F.col("_hashes"), F.col("_at"))).otherwise(
-        F.array(F.lit(None).cast("long")))
-    probes = at.select("_id", "_text", "_hashes", "_at", F.explode(signed).alias("_sig"))
-    hits = probes.join(windows, F.col("_sig") == F.col("sig"), "left").where("sig IS NOT NULL OR _at < 0")
-    start = F.greatest(F.col("_at") - F.col("_place") - slack(F.col("_length")), F.lit(0))
-    end = F.least(F.col("_at") - F.col("_place") + F.col("_length") + slack(F.col("_length")), F.size("_hashes"))
-    around = F.slice("_hashes", start + 1, F.greatest(end - start, F.lit(0)))
-    share = F.size(F.array_intersect("_template", around)) / F.size("_template")
-    checked = hits.select(
-        "_id", "_text", "_at", "_license", start.alias("_start"), (end + SHINGLE - 1).alias("_end"),
-        F.when(F.col("_at") >= 0, share).alias("_share"),
-    ).where((F.col("_at") < 0) | (F.col("_share") >= CONTAINMENT))
-    span = F.struct(
-        F.col("_license").alias("license"), F.col("_start").alias("start"), F.col("_end").alias("end"),
-        F.col("_share").alias("share"),
-    )
-    found = checked.groupBy("_id", "_text").agg(
-        F.count_if(F.col("_at") < 0).alias("_copies"),
-        F.array_sort(F.collect_set(F.when(F.col("_at") >= 0, span))).alias("spans"),
+    index = template_windows(templates)
+    if index.count() <= MAX_BROADCAST_WINDOWS:
+        index = F.broadcast(index)
+    known, who = identity(docs, doc_id, text), ["_no_id", "_of", "_hash"]
+    hashed = with_shingles(known, "_text").select(*who, "_hashes")
+    # the outer form keeps Spark from computing the windows once more to see whether there are any
+    cut = hashed.select(*who, F.posexplode_outer(windows_of(F.col("_hashes"), STRIDE)).alias("_n", "_window"))
+    probes = cut.where(F.col("_n").isNotNull()).select(*who, (F.col("_n") * STRIDE).alias("_at"), F.explode(signature(F.col("_window"))).alias("sig"))
+    place = F.struct((F.col("_at") - F.col("place")).alias("begin"), "license", "length", "template")
+    hits = probes.join(index, "sig").groupBy(*who).agg(F.collect_set(place).alias("_hits"))
+
+    def check(hashes: Column, hit: Column) -> Column:
+        start = F.greatest(hit["begin"] - slack(hit["length"]), F.lit(0))
+        end = F.least(hit["begin"] + hit["length"] + slack(hit["length"]), F.size(hashes))
+        around = F.slice(hashes, start + 1, F.greatest(end - start, F.lit(0)))
+        share = F.size(F.array_intersect(hit["template"], around)) / F.size(hit["template"])
+        return F.struct(
+            hit["license"].alias("license"), start.alias("start"), (end + SHINGLE - 1).alias("end"), share.alias("share")
+        )
+
+    # without a hit no words are needed
+    met = known.join(hits, who, "left").withColumn("_met", F.when(F.col("_hits").isNotNull(), F.col("_text")))
+    met = with_shingles(met, "_met")
+    spans = F.filter(
+        F.transform("_hits", lambda hit: check(F.col("_hashes"), hit)), lambda s: s["share"] >= CONTAINMENT
     )
-    return found.select(
-        F.col("_id").alias(doc_id), F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["license"]))).alias("licenses"),
-        "spans", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+    none = F.array().cast("array<struct<license:string,start:int,end:int,share:double>>")
+    found = met.select(F.col("_id").alias(doc_id), F.coalesce(F.array_sort(F.array_distinct(spans)), none).alias("spans"))
+    names = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["license"])))
+    return found.select(doc_id, names.alias("licenses"), "spans")
