@@ -30,12 +30,16 @@ class Band(NamedTuple):
     most: float
 
 
-#: Prose compresses by 0.7 at 100 bytes, by 2 at 2 kB and by 2.5 at 50 kB; base64 noise by 1.3 at any length.
+#: Prose compresses by 0.9 at 64 bytes, 1.2 at 200, 1.6 at 700, 1.9 at 2 kB and 2.5 at 50 kB. Base64 noise in words of
+#: eight characters reaches 1.06 at 191 bytes, 1.16 at 383, 1.33 at 2 kB and 1.36 at 60 kB, in words of four 1.11, 1.22,
+#: 1.40 and 1.43. Each lower limit lies above the noise at the band's end: from 256 bytes above both kinds, from 128
+#: above words of eight. Below 128 bytes the two cannot be told apart.
 BANDS = (
-    Band(128, 0.5, 2.0), Band(512, 0.9, 2.75), Band(2048, 1.2, 3.2), Band(8192, 1.4, 4.0), Band(32768, 1.5, 4.6),
-    Band(float("inf"), 1.5, 5.0),
+    Band(128, 0.5, 2.0), Band(160, 1.04, 2.75), Band(192, 1.065, 2.75), Band(256, 1.125, 2.75), Band(384, 1.23, 2.75),
+    Band(512, 1.28, 2.75), Band(768, 1.34, 3.2), Band(1024, 1.4, 3.2), Band(2048, 1.45, 3.2), Band(8192, 1.5, 4.0),
+    Band(32768, 1.5, 4.6), Band(float("inf"), 1.5, 5.0),
 )
-CHUNK_BYTES, CHUNK_BAND = 2048, Band(float("inf"), 1.2, 4.0)
+CHUNK_BYTES, CHUNK_BANDS = 2048, (Band(2048, 1.45, 4.0), Band(float("inf"), 1.5, 4.0))
 #: A last chunk of less than half the size is left out. More than this share of chunks outside their band rejects.
 MAX_BAD_CHUNKS = 1 / 3
 LEVEL = 3
@@ -75,25 +79,29 @@ def repeated_words(words: Sequence[str], window: int = REPEAT_WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edges)[:-1]))
 
 
-def compression(data: bytes, squeeze, bands: Sequence[Band], chunk_bytes: int, chunk_band: Band) -> tuple[float, int, int, bool]:
+def measured(data: bytes, squeeze, bands: Sequence[Band]) -> tuple[float, bool]:
+    """Ratio, and whether it is inside the band of its length."""
+    ratio, band = len(data) / len(squeeze(data)), next(b for b in bands if len(data) < b.below)
+    return ratio, band.least <= ratio <= band.most
+
+
+def compression(data: bytes, squeeze, bands: Sequence[Band], chunk_bytes: int, chunk_bands: Sequence[Band]) -> tuple[float, int, int, bool]:
     """Ratio of the whole, chunks, chunks outside their band, and whether all is inside the bands."""
     if not data:
         return 0.0, 0, 0, False
-    ratio = len(data) / len(squeeze(data))
-    band = next(b for b in bands if len(data) < b.below)
+    ratio, whole = measured(data, squeeze, bands)
     n_chunks = bad = 0
     if len(data) > chunk_bytes:
         for at in range(0, len(data), chunk_bytes):
             piece = data[at:at + chunk_bytes]
             if 2 * len(piece) >= chunk_bytes:
                 n_chunks += 1
-                bad += not chunk_band.least <= len(piece) / len(squeeze(piece)) <= chunk_band.most
-    inside = band.least <= ratio <= band.most and bad <= MAX_BAD_CHUNKS * n_chunks
-    return ratio, n_chunks, bad, inside
+                bad += not measured(piece, squeeze, chunk_bands)[1]
+    return ratio, n_chunks, bad, whole and bad <= MAX_BAD_CHUNKS * n_chunks
 
 
 def judge(docs: DataFrame, text: str = "text", out: str = "quality", bands: Sequence[Band] = BANDS,
-          chunk_bytes: int = CHUNK_BYTES, chunk_band: Band = CHUNK_BAND, level: int = LEVEL) -> DataFrame:
+          chunk_bytes: int = CHUNK_BYTES, chunk_bands: Sequence[Band] = CHUNK_BANDS, level: int = LEVEL) -> DataFrame:
     """`docs` with a struct `out` of the measures, `base_failed` and `kept`.
 
     Null and empty texts have no words, ratio 0, and fail. Every row stays, with all its columns; a column named as
@@ -110,7 +118,7 @@ def judge(docs: DataFrame, text: str = "text", out: str = "quality", bands: Sequ
             lines = [line for line in text.split("\n") if WORD.search(line)]
             n, repeats = len(words), repeated_words(words)
             failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-            ratio, n_chunks, bad, inside = compression(text.encode(), squeeze, bands, chunk_bytes, chunk_band)
+            ratio, n_chunks, bad, inside = compression(text.encode(), squeeze, bands, chunk_bytes, chunk_bands)
             rows.append((
                 n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeats,
                 ratio, n_chunks, bad, failed, inside and not failed,

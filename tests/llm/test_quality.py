@@ -57,5 +57,32 @@ def test_measures_and_verdicts(spark):
     assert not by["noise"]["base_failed"] and not by["letters"]["kept"]
 
 
+def test_noise_at_every_length_and_in_part(spark):
+    rng = random.Random(3)
+    noise = lambda n: " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n // 9 + 1))[:n]
+    text = prose(rng, 20_000)
+    short = [noise(n) for n in (128, 159, 191, 255, 383, 511, 512, 623, 767, 1023, 1169, 1884, 2047, 2048, 5000) for _ in range(20)]
+    # a third of the chunks may be bad, no more
+    part = {0: text[:40_000], 25: text[:30_000] + noise(10_000), 45: text[:40_000] + noise(33_000),
+            62: text[:40_000] + noise(65_000), 60: text[:41_000] + noise(63_000)}
+    rows = [*short, *part.values()]
+    got = judge(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(rows)], SCHEMA)).collect()
+    by = {r["doc_id"]: r["quality"] for r in got}
+    assert not any(by[i]["base_failed"] or by[i]["kept"] for i in range(len(short)))
+    for at, (percent, whole) in enumerate(part.items(), len(short)):
+        q = by[at]
+        assert abs(100 * q["n_bad_chunks"] / q["n_chunks"] - percent) < 6, (percent, q)
+        assert q["kept"] == (percent < 30) and not q["base_failed"], (percent, len(whole), q)
+
+
+def test_prose_of_every_length_is_kept(spark):
+    rng = random.Random(4)
+    text = prose(rng, 20_000)
+    rows = [text[at:at + n] for n in (128, 160, 192, 256, 384, 512, 768, 1024, 1500, 2048, 3100, 9000, 40_000)
+            for at in range(0, 50_000, 5_000)]
+    got = judge(spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(rows)], SCHEMA)).collect()
+    assert all(r["quality"]["kept"] and not r["quality"]["n_bad_chunks"] for r in got)
+
+
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], SCHEMA)).count() == 0
