@@ -21,7 +21,21 @@ WINDOW, STRIDE, BANDS = 4, 2, 16
 #: A template table takes at most this many distinct windows, 40 bytes each, for its broadcast; more are shuffled.
 MAX_BROADCAST_WINDOWS = 1_000_000
 
-# Statements and notices of public licences, by SPDX name.
+
+def _gnu(adjective: str, number: str) -> tuple[str, ...]:
+    """Notice, notice without "or later", and short forms of a GNU licence."""
+    name = f"GNU {adjective}General Public License"
+    return (
+        f"terms of the {name} as published by the Free Software Foundation, either version {number} of the License",
+        f"terms of the {name} as published by the Free Software Foundation, version {number} of the License",
+        f"terms of the {name} version {number} as published by the Free Software Foundation",
+        f"the {name}, version {number}",
+    )
+
+
+# Statements and notices of public licences, by SPDX name. Each is the part of a notice that tells it from
+# its relatives: no other licence's notice may contain CONTAINMENT of it, so what differs by one word is cut to fewer
+# than 20 shingles around that word.
 TEMPLATES = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
@@ -37,18 +51,50 @@ TEMPLATES = {
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
         "the Software",
     ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3",
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation, either "
-        "version 3 of the License, or (at your option) any later version",
+    "GPL-3.0": _gnu("", "3"),
+    "GPL-2.0": _gnu("", "2"),
+    "AGPL-3.0": _gnu("Affero ", "3"),
+    "LGPL-3.0": _gnu("Lesser ", "3"),
+    "LGPL-2.1": _gnu("Lesser ", "2.1"),
+    "LGPL-2.0": _gnu("Library ", "2"),
+    # the three-clause text is the two-clause one with a clause between these two sentences
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License",
+        "in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE",
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License",
+        "nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission",
+    ),
+    "CC0-1.0": (
+        "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+        "have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+        "has waived all copyright and related or neighboring rights to",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+    "EPL-1.0": (
+        "made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution",
+    ),
+    "EPL-2.0": (
+        "made available under the terms of the Eclipse Public License 2.0 which is available at",
+        "made available under the terms of the Eclipse Public License v. 2.0 which is available at",
+        "made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution",
     ),
-    "GPL-2.0": (
-        "it under the terms of the GNU General Public License as published by the Free Software Foundation; either "
-        "version 2 of the License, or (at your option) any later version",
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license",
     ),
-    "BSD": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met",
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and "
+        "to alter it and redistribute it freely, subject to the following restrictions",
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
     "ISC": (

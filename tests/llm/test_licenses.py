@@ -55,6 +55,60 @@ def test_equals_containment(spark):
     assert len({n for _, names in want for n in names}) == len(TEMPLATES)
 
 
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public "
+    "License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any "
+    "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even "
+    "the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for "
+    "more details. You should have received a copy of the GNU {0}General Public License along with this program."
+)
+GNU_ONLY = GNU.replace("either version {1} of the License, or (at your option) any later version", "version {1} of the License")
+GNU_LINE = "This work is licensed under the GNU {0}General Public License, version {1}"
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."
+)
+NOTICES = [
+    *[(name, form.format(*of)) for form in (GNU, GNU_ONLY, GNU_LINE) for name, of in {
+        "GPL-2.0": ("", "2"), "GPL-3.0": ("", "3"), "AGPL-3.0": ("Affero ", "3"), "LGPL-3.0": ("Lesser ", "3"),
+        "LGPL-2.1": ("Lesser ", "2.1"), "LGPL-2.0": ("Library ", "2")}.items()],
+    ("BSD-2-Clause", BSD.format("")),
+    ("BSD-3-Clause", BSD.format(
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission. ")),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring "
+     "rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and "
+     "related or neighboring rights to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+     "purpose, commercial or non-commercial, and by any means."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+     "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the "
+     "Eclipse Public License v1.0 which accompanies this distribution, and is available at"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+     "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+     "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for "
+     "any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+     "restrictions: 1. The origin of this software must not be misrepresented"),
+    *[(name, t) for name, texts in TEMPLATES.items() for t in texts],
+]
+
+
+def test_each_notice_has_exactly_one_name(spark):
+    data = [(i, f"Some file of ours, see below. {t} And so on in a text of words.", "l", 3) for i, (_, t) in enumerate(NOTICES)]
+    got = find_licenses(spark.createDataFrame(data, SCHEMA), template_table(spark, TEMPLATES)).collect()
+    by = {r["doc_id"]: r["licenses"] for r in got}
+    assert [(t, by[i]) for i, (_, t) in enumerate(NOTICES)] == [(t, [n]) for n, t in NOTICES]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(rows()[:8], SCHEMA)
     assert find_licenses(docs.limit(0), template_table(spark, TEMPLATES)).count() == 0
