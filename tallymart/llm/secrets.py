@@ -62,6 +62,12 @@ ENTROPY_CLASSES = (
     EntropyClass(
         "entropy_base64", string.digits + string.ascii_letters + "+/_-", 24, 4.0, ("[0-9]", "[a-z]", "[A-Z]")
     ),
+    EntropyClass("entropy_lower", string.digits + string.ascii_lowercase, 20, 3.6, ("[0-9]", "[g-z]")),
+    # without separators, so that an allow-list match drops only its own part of a joined run
+    EntropyClass("entropy_mixed", string.digits + string.ascii_letters, 20, 3.9, ("[0-9]", "[a-z]", "[A-Z]")),
+    EntropyClass(
+        "entropy_short64", string.digits + string.ascii_letters + "+/_-", 20, 4.0, ("[0-9]", "[a-z]", "[A-Z]")
+    ),
 )
 #: A candidate that one of these matches is no secret: identifiers, placeholders, counting sequences, paths.
 ALLOWED = (

@@ -84,5 +84,22 @@ def test_redaction_removes_covered_characters(spark):
         assert (r["text"] or "") == want and (r["text"] is None) == (text is None)
 
 
+def test_bare_keys_are_found(spark):
+    rng, lower = random.Random(8), "0123456789abcdefghijklmnopqrstuvwxyz"
+    mixed = lower + lower[10:].upper()
+    make = {
+        "lower": (0.95, lambda: "".join(rng.choices(lower, k=32))),
+        "mixed": (0.7, lambda: "".join(rng.choices(mixed, k=rng.randint(20, 23)))),
+        "base64": (0.6, lambda: "".join(rng.choices(mixed + "+/", k=rng.randint(20, 23)))),
+        "joined": (0.9, lambda: "example/" + "".join(rng.choices(mixed, k=32)) + "-0123456789"),
+    }
+    rows = [(i, f"see {f()} there", 0, name) for name, (_, f) in make.items() for i in range(100)]
+    found = Counter(r["kind"] for r in find_secrets(spark.createDataFrame(rows, SCHEMA)).collect() if r["secrets"])
+    assert all(found[name] >= 100 * least for name, (least, _) in make.items()), found
+    names = ["uncharacteristically", "src/main/java/com/acme/Foo2BarBaz/UserAccountController", "the_2nd_quick_brown_fox_jumps"]
+    got = find_secrets(spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(names)], SCHEMA)).collect()
+    assert not any(r["secrets"] for r in got)
+
+
 def test_empty_table(spark):
     assert find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
