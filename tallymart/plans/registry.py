@@ -257,6 +257,29 @@ def _demand_queries() -> dict[str, Query]:
         ours = fc.where(F.col("model") == forecasting.ENSEMBLE)
         return show(ours.select("series", "week", "h", "yhat"), 6)
 
+    def every_model(spark, d, folds):
+        """Forecasts of all seven models, with the panel; the trees are fitted anew for each fold."""
+        def fitted(panel, horizon, of):
+            return boosted.boosted_forecasts(panel, horizon, of, CONFIG)
+
+        p = _history_parts(spark, d)
+        return p, stage_table(forecasting.forecast_all(p, CONFIG.horizon, folds, boosted=fitted), "forecasts")
+
+    def forecast_all_seven(spark, d):
+        return show(every_model(spark, d, range(CONFIG.n_folds + 1))[1], 6)
+
+    def on_seven(fn):
+        def run(spark, d):
+            p, fc = every_model(spark, d, range(1, CONFIG.n_folds + 1))
+            return show(fn(fc.join(p, ["series", "week"]).select(*forecasting.COLUMNS, "y")), 6)
+        return run
+
+    def forecast_lookup_seven(spark, d):
+        p, fc = every_model(spark, d, range(CONFIG.n_folds + 1))
+        tested_all = fc.where(F.col("fold") > 0).join(p, ["series", "week"]).select(*forecasting.COLUMNS, "y")
+        ahead = evaluation.final_forecast(fc.where(F.col("fold") == 0), tested_all)
+        return show(evaluation.forecast_lookup(ahead, p, evaluation.leaderboard(tested_all, ["series", "model"])), 6)
+
     def forecast_importance(spark, d):
         return show(boosted.feature_importance(boosted.fit(_history_parts(spark, d), CONFIG)), 6)
 
@@ -279,6 +302,13 @@ def _demand_queries() -> dict[str, Query]:
         "leaderboard_by_series": on_backtest(lambda bt: evaluation.leaderboard(bt, ["series", "model"])),
         "leaderboard_by_horizon": on_backtest(lambda bt: evaluation.error_by_horizon(bt, baselines)),
         "best_models": on_backtest(evaluation.best_models),
+        "forecast_all_seven": forecast_all_seven,
+        "backtest_seven": on_seven(lambda bt: bt),
+        "leaderboard_seven": on_seven(evaluation.leaderboard),
+        "leaderboard_by_series_seven": on_seven(lambda bt: evaluation.leaderboard(bt, ["series", "model"])),
+        "leaderboard_by_horizon_seven": on_seven(lambda bt: evaluation.error_by_horizon(bt, forecasting.ALL_MODELS)),
+        "best_models_seven": on_seven(evaluation.best_models),
+        "forecast_lookup_seven": forecast_lookup_seven,
         "forecast_intervals": with_panel(lambda fc, p: fc),
         "forecast_series": with_panel(lambda fc, p: evaluation.forecast_series(fc)),
         "forecast_lookup": forecast_lookup,
