@@ -34,10 +34,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared scratch area and read it back: cuts the lineage and survives lost executors."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write `df` to the shared scratch area and read it back: cuts the lineage and survives lost executors.
+
+    With `by` the rows lie in one folder per value of that column, so a filter on it reads only those.
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*([by] if by else [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,3 +54,11 @@ def identity(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.col(doc_id).alias("_id"), body.alias("_text"), F.col(doc_id).isNull().alias("_no_id"),
         F.coalesce(F.col(doc_id), F.lit(0)).cast("long").alias("_of"), F.xxhash64(body).alias("_hash"),
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or the first of `name_`, `name__`, ... that no column of `df` has (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
