@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from tallymart.llm import licenses, reputation, secrets
+from tallymart.llm import collocations, licenses, reputation, secrets
 
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
@@ -200,10 +200,55 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, {_B
 FROM p JOIN f USING (sha)
 """
 
+
+
+def _collocations() -> str:
+    least, covered, top = collocations.LEAST, collocations.COVERED, collocations.TOP
+    score = "CAST(1000000::HUGEINT * a * a // (l::HUGEINT * r) AS BIGINT)"
+    return rf"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f1 AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY ALL),
+f2 AS (
+    SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM w, unnest(range(1, len(w))) AS t(i) GROUP BY ALL HAVING count(*) >= {least}
+),
+f3 AS (
+    SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f
+    FROM w, unnest(range(1, len(w) - 1)) AS t(i) GROUP BY ALL HAVING count(*) >= {least}
+),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+inside AS (SELECT lang, x, y, max(f) AS most FROM (
+    SELECT lang, x, y, f FROM f3 UNION ALL SELECT lang, y, z, f FROM f3) GROUP BY ALL),
+cuts AS (
+    SELECT f2.lang, f2.x || ' ' || f2.y AS phrase, f2.f AS a, p.f AS l, q.f AS r, 1 AS k
+    FROM f2 JOIN f1 AS p ON p.lang = f2.lang AND p.x = f2.x JOIN f1 AS q ON q.lang = f2.lang AND q.x = f2.y
+    LEFT JOIN inside AS i ON i.lang = f2.lang AND i.x = f2.x AND i.y = f2.y
+    WHERE i.most IS NULL OR 100 * i.most < {covered} * f2.f
+    UNION ALL
+    SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, p.f, q.f, 1
+    FROM f3 JOIN f1 AS p ON p.lang = f3.lang AND p.x = f3.x JOIN f2 AS q ON q.lang = f3.lang AND q.x = f3.y AND q.y = f3.z
+    UNION ALL
+    SELECT f3.lang, f3.x || ' ' || f3.y || ' ' || f3.z, f3.f, p.f, q.f, 2
+    FROM f3 JOIN f2 AS p ON p.lang = f3.lang AND p.x = f3.x AND p.y = f3.y JOIN f1 AS q ON q.lang = f3.lang AND q.x = f3.z
+),
+weakest AS (
+    SELECT * FROM (SELECT *, {score} AS score FROM cuts)
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN totals USING (lang) QUALIFY rank <= {top}
+"""
+
+
 ORACLES = {
     "op1_decontamination": DECONTAMINATION,
     "op2_secrets": _secrets(),
     "op8_licenses": _licenses(),
     "op9_url_filter": _urls(),
     "op10_warc": WARC,
+    "op11_collocations": _collocations(),
 }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymart.llm import bpe, oracles, simhash, token_files, warc
+from tallymart.llm import alignment, bpe, oracles, packing, simhash, token_files, warc
+from tallymart.llm.collocations import mine_phrases
 from tallymart.llm.common import read_table
 from tallymart.llm.decontamination import find_contamination
 from tallymart.llm.licenses import TEMPLATES, find_licenses, template_table
@@ -16,8 +17,10 @@ from tallymart.llm.reputation import judge_urls
 from tallymart.llm.secrets import BASE_KINDS, find_secrets, listed
 from tallymart.llm.suffix_dedup import remove_repeats
 
-VOCABULARY = "word_bpe_49k.json"
-END_ID = 2
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+#: Of packing, and of the two sides of the alignment.
+PACKED_VOCABULARY, PACKED_END_ID = "byte_bpe_50k.json", 0
+SIDES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES = oracles.ORACLES
@@ -28,10 +31,10 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 def joined_sha256(parts: Column, separator: str = ",") -> Column:
@@ -121,3 +124,21 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(read_table(spark, sf_dir, "pages"))
     return warc.read_warc(manifest, with_payload=False).drop("url", "payload")
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.cut_pieces(docs, vocabulary_path(PACKED_VOCABULARY), PACKED_END_ID)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = alignment.align(read_table(spark, sf_dir, "documents"), *map(vocabulary_path, SIDES))
+    return done.withColumnRenamed("digest", "groups_sha256")

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from test_alignment import plain_alignment
 from test_quality import plain_repeats
 from test_simhash import plain_components, plain_fingerprint
 from test_suffix_dedup import plain as plain_removal
@@ -39,8 +40,8 @@ def rows_of(spark, sf_dir, name, columns):
 
 
 def test_every_operator_is_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
-    assert {"op1_decontamination", "op2_secrets", "op8_licenses", "op9_url_filter", "op10_warc"} == set(ORACLES)
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
+    assert {"op1_decontamination", "op2_secrets", "op8_licenses", "op9_url_filter", "op10_warc", "op11_collocations"} == set(ORACLES)
 
 
 def test_quality(spark, sf_dir, texts):
@@ -81,3 +82,30 @@ def test_suffix_dedup(spark, sf_dir, texts):
     got, order = rows_of(spark, sf_dir, "op7_suffix_dedup", ["n_bytes", "n_removed", "n_spans", "kept_sha256"]), sorted(texts)
     for i, (n, runs, kept) in zip(order, plain_removal([texts[i] for i in order], 400), strict=True):
         assert got[i] == (n, n - len(kept), len(runs), sha(kept))
+
+
+def test_packing(spark, sf_dir, texts):
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = QUERIES["op12_packing"](spark, sf_dir).collect()
+    got, want = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}, {}
+    for i, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        starts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048)]
+        for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
+            want[i, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    assert got == want and len(rows) == len(want)
+    filled: dict[int, list] = {}
+    for r in rows:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in filled.values():
+        parts.sort()
+        assert [p[0] for p in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+    assert len(filled) <= -(-sum(w[1] for w in want.values()) // 2048) * 1.02 + 1
+
+
+def test_alignment(spark, sf_dir, texts):
+    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert rows_of(spark, sf_dir, "op13_alignment", names) == {
+        i: (*row[:-1], sha(row[-1]) if row[-1] else "") for i, row in plain_alignment(texts).items()
+    }
