@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from tallymart.llm.common import stage
 from tallymart.llm.units import Rows, TokenStore, UnitStore, ragged, text_slices, token_bytes
 
 #: A block has at most so many documents (numbers take 16 bits) and bytes of text, a longer text alone.
-BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 12 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 4 << 20
+#: Units that a store keeps in a generation; one takes about 500 bytes.
+MAX_UNITS = 100_000
 
 INDEX = (
     "kind string, block long, doc int, doc_id long, n_a long, n_b long, n_groups long, n_links long, digest string, "
@@ -42,11 +45,12 @@ def piece_bytes(model) -> list[bytes]:
     ]
 
 
-def _joined(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of `ids` back to back, and where each ends."""
-    taken = table.take(pa.array(ids))
-    sizes = pa.compute.binary_length(taken).to_numpy(zero_copy_only=False)
-    return np.frombuffer(b"".join(taken.to_pylist()), np.uint8), np.cumsum(sizes)
+def _taken(table: pa.Array, places: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The byte strings of a table at `places`, back to back, and their bounds."""
+    out = table.take(pa.array(places))
+    _, bounds, data = out.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[out.offset:out.offset + len(out) + 1]
+    return (memoryview(data).cast("B")[bounds[0]:bounds[-1]] if data is not None else memoryview(b"")), bounds - bounds[0]
 
 
 class AlignedUnits(UnitStore):
@@ -56,11 +60,15 @@ class AlignedUnits(UnitStore):
         import sentencepiece
 
         self.a = TokenStore(path_a, special_as_text=True)
+        self.a.max_units = self.max_units = MAX_UNITS
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        pieces = piece_bytes(self.b)
-        self.bytes_a = pa.array(token_bytes(self.a.merges.tokenizer), pa.large_binary())
-        self.bytes_b = pa.array(pieces, pa.large_binary())
-        self.vocabulary_b = len(pieces)
+        pieces, tokens = piece_bytes(self.b), token_bytes(self.a.merges.tokenizer)
+        self.bytes_a, self.bytes_b = (pa.array(x, pa.large_binary()) for x in (tokens, pieces))
+        self.vocabulary_a, self.vocabulary_b = len(tokens), len(pieces)
+        # a token in a list of groups: its number with what follows it
+        self.listed = pa.array([
+            f"{i}{mark}".encode() for n, marks in ((len(tokens), ",|"), (len(pieces), ",;")) for mark in marks for i in range(n)
+        ], pa.large_binary())
         # units may start where no piece has the character behind another one: merges then never span the place
         long = [p for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         self.white = bytes(
@@ -74,7 +82,7 @@ class AlignedUnits(UnitStore):
     def clear(self) -> None:
         #: of each slot: whether the bytes agree, tokens of each kind, groups
         self.numbers = np.zeros((0, 4), np.int64)
-        self.strings: list[bytes] = []
+        self.strings = pa.array([], pa.large_binary())
         self.pairs, self.times = Rows(np.int64), Rows(np.int64)
 
     def aged(self) -> UnitStore:
@@ -87,7 +95,7 @@ class AlignedUnits(UnitStore):
     def carry(self, slots: np.ndarray) -> None:
         old = self.older
         self.numbers = np.concatenate([self.numbers, old.numbers[slots]])
-        self.strings += [old.strings[i] for i in slots.tolist()]
+        self.strings = pa.concat_arrays([self.strings, old.strings.take(pa.array(slots))])
         self.pairs.add(old.pairs.size[slots], old.pairs.of(slots))
         self.times.add(old.times.size[slots], old.times.of(slots))
 
@@ -104,7 +112,7 @@ class AlignedUnits(UnitStore):
         sizes_a = np.concatenate([np.diff(b) for _, b in found])
         lists_b = self._encode_b(units)
         sizes_b = np.array([len(i) for i in lists_b])
-        ids_b = np.fromiter((x for i in lists_b for x in i), np.int64, int(sizes_b.sum()))
+        ids_b = np.fromiter(chain.from_iterable(lists_b), np.int64, int(sizes_b.sum()))
         unit_a, unit_b = (np.repeat(np.arange(len(units)), s) for s in (sizes_a, sizes_b))
         good = self._agree(units, ids_a, sizes_a, ids_b, sizes_b)
         if not good.all():
@@ -121,7 +129,9 @@ class AlignedUnits(UnitStore):
         counts_a = np.bincount(unit_a, minlength=len(units))
         counts_b = np.bincount(unit_b, minlength=len(units))
         self.numbers = np.concatenate([self.numbers, np.stack([good, counts_a, counts_b, n_groups], 1).astype(np.int64)])
-        self.strings += self._strings(len(both), unit_of, ids_a, group_a, ids_b, group_b, n_groups)
+        self.strings = pa.concat_arrays([
+            self.strings, self._strings(ids_a, group_a, ids_b, group_b, np.cumsum(counts_a + counts_b))
+        ])
         self._link(len(units), len(both), unit_of, ids_a, group_a, ids_b, group_b)
 
     @staticmethod
@@ -130,24 +140,31 @@ class AlignedUnits(UnitStore):
 
     def _agree(self, units, ids_a, sizes_a, ids_b, sizes_b) -> np.ndarray:
         """Whether both encodings of each unit spell it."""
+        encoded = [u.encode() for u in units]
+        whole, bounds = b"".join(encoded), np.cumsum([0, *map(len, encoded)])
         good = np.ones(len(units), bool)
         for table, ids, sizes in ((self.bytes_a, ids_a, sizes_a), (self.bytes_b, ids_b, sizes_b)):
-            spelled, ends = _joined(table, ids)
-            ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-            spelled = spelled.tobytes()
-            good &= [spelled[x:y] == u.encode() for u, x, y in zip(units, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            spelled, ends = _taken(table, ids)
+            ends = ends[np.concatenate([[0], np.cumsum(sizes)])]
+            if spelled == whole and (ends == bounds).all():
+                continue
+            good &= [spelled[x:y] == u for u, x, y in zip(encoded, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return good
 
-    @staticmethod
-    def _strings(n, unit_of, ids_a, group_a, ids_b, group_b, n_groups) -> list[bytes]:
-        """`a1,a2|b1;a3|b2,b3;` of each unit."""
-        parts: list[list[str]] = []
-        for ids, group in ((ids_a, group_a), (ids_b, group_b)):
-            text, bounds = list(map(str, ids.tolist())), np.searchsorted(group, np.arange(n + 1)).tolist()
-            parts.append([",".join(text[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)])
-        groups = [f"{a}|{b};" for a, b in zip(*parts, strict=True)]
-        bounds = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        return ["".join(groups[x:y]).encode() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    def _strings(self, ids_a, group_a, ids_b, group_b, unit_ends) -> pa.Array:
+        """`a1,a2|b1;a3|b2,b3;` of each unit, whose tokens of both kinds end at `unit_ends`."""
+        last_a, last_b = (np.append(g[1:] != g[:-1], True)[:len(g)] for g in (group_a, group_b))
+        words = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        # a token's place: after those of its kind before it, and the other kind's of groups before (or up to) its own
+        words[np.arange(len(ids_a)) + np.searchsorted(group_b, group_a)] = ids_a + last_a * self.vocabulary_a
+        words[np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")] = (
+            2 * self.vocabulary_a + ids_b + last_b * self.vocabulary_b
+        )
+        text, bounds = _taken(self.listed, words)
+        bounds = bounds[np.concatenate([[0], unit_ends])]
+        return pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(unit_ends), [None, pa.py_buffer(bounds), pa.py_buffer(bytes(text))]
+        )
 
     def _link(self, n_units, n, unit_of, ids_a, group_a, ids_b, group_b) -> None:
         """Linked pairs of each unit and how often: within a group, times of the one id times those of the other."""
@@ -232,11 +249,9 @@ def _block_rows(units: AlignedUnits, ids: pa.Array, data: np.ndarray, bounds: np
     kept = good[doc]
     doc, slots = doc[kept], slots[kept]
     per_doc[~good] = 0
-    texts = [b""] * n
-    strings, bounds_of = units.strings, np.searchsorted(doc, np.arange(n + 1)).tolist()
-    listed = slots.tolist()
-    for i, (x, y) in enumerate(zip(bounds_of[:-1], bounds_of[1:], strict=True)):
-        texts[i] = b"".join([strings[s] for s in listed[x:y]])[:-1]
+    listed, places = _taken(units.strings, slots)
+    places = places[np.searchsorted(doc, np.arange(n + 1))].tolist()
+    texts = [listed[x:y - 1] if y > x else b"" for x, y in zip(places[:-1], places[1:], strict=True)]
     # units of a document, then their pairs, then pairs of a document
     key, often = np.unique(doc * len(units.slots) + slots, return_counts=True)
     doc, slots = np.divmod(key, max(len(units.slots), 1))
@@ -254,7 +269,7 @@ def _block_rows(units: AlignedUnits, ids: pa.Array, data: np.ndarray, bounds: np
         "kind": np.repeat("document", n), "block": np.full(n, block), "doc": np.arange(n, dtype=np.int32), "doc_id": ids,
         "n_a": per_doc[:, 1], "n_b": per_doc[:, 2], "n_groups": per_doc[:, 3], "n_links": links,
         "digest": pa.array([hashlib.sha256(t).hexdigest() if t else "" for t in texts]),
-        "groups": pa.array([t.decode() if with_groups else None for t in texts], pa.string()),
+        "groups": pa.array([bytes(t).decode() if with_groups else None for t in texts], pa.string()),
     }
     if not len(pair):
         return

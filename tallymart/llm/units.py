@@ -13,6 +13,7 @@ import os
 import re
 import string
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,7 @@ class UnitStore:
     When the younger one is full it becomes the older, from which units in use are carried over.
     """
 
-    white, marks = WHITE, b""
+    white, marks, max_units = WHITE, b"", MAX_UNITS
 
     def __init__(self):
         self.older: UnitStore | None = None
@@ -128,7 +129,7 @@ class UnitStore:
 
         Slots hold until the next call.
         """
-        if len(self.slots) > MAX_UNITS or self.held_bytes > MAX_UNIT_BYTES:
+        if len(self.slots) > self.max_units or self.held_bytes > MAX_UNIT_BYTES:
             self.older = self.aged()
             self.slots, self.held_bytes = {}, 0
             self.clear()
@@ -238,7 +239,7 @@ class TokenStore(UnitStore):
     def learn(self, units: list[str]) -> None:
         ids = self.merges.ids(units)
         sizes = np.array([len(i) for i in ids])
-        self.rows.add(sizes, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum())))
+        self.rows.add(sizes, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())))
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, bounds of texts in them) of consecutive runs of the column's texts; null texts are empty."""

@@ -107,7 +107,8 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
 def test_stores_age(spark, monkeypatch):
     from tallymart.llm import units
 
-    monkeypatch.setattr(units, "MAX_UNITS", 50)
+    monkeypatch.setattr(units.UnitStore, "max_units", 50)
+    monkeypatch.setattr(alignment, "MAX_UNITS", 50)
     import numpy as np
     import pyarrow as pa
 
