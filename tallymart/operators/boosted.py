@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -16,7 +14,7 @@ from tallymart.config import Config
 from tallymart.operators.calendar import calendar_features
 from tallymart.operators.demand import CALENDAR, FEATURES, LAGS, MEANS, supervised
 from tallymart.operators.forecasting import BOOSTED, histories
-from tallymart.session import stage_table
+from tallymart.session import in_parallel, stage_table
 
 # Trees take no nulls. Logged demand is never negative, so this is a value of its own for a missing lag.
 MISSING = -1.0
@@ -124,8 +122,7 @@ def boosted_forecasts(panel: DataFrame, horizon: int, folds: Sequence[int], conf
             models[fold] = model
         return stage_table(predict(model, hist.where(F.col("fold") == fold), horizon, holidays), f"boosted_{fold}")
 
-    with ThreadPoolExecutor(4) as pool:
-        parts = list(pool.map(inheritable_thread_target(panel.sparkSession)(one), sorted(cutoffs)))
+    parts = in_parallel(panel.sparkSession, one, sorted(cutoffs), 4)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,10 +6,8 @@ the window that starts with it.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
@@ -26,7 +24,7 @@ from tallymart.operators.features import (
     with_state_flags,
 )
 from tallymart.operators.ranking import quintile, with_running_totals
-from tallymart.session import stage_table
+from tallymart.session import in_parallel, stage_table
 
 NUMERIC = (
     "recency_days", "tenure_days", "frequency", "monetary", "avg_order_value", "avg_items", "avg_freight",
@@ -189,10 +187,8 @@ def train_and_evaluate(
         scored = stage_table(with_probability(model, test), f"scored_{name}")
         return name, model, binary_metrics(scored).select(F.lit(name).alias("model"), "*")
 
-    with ThreadPoolExecutor(2) as pool:  # the two fits are independent jobs
-        done = list(pool.map(
-            inheritable_thread_target(sets.sparkSession)(fit), make_models(config, train.count()).items()
-        ))
+    # the two fits are independent jobs
+    done = in_parallel(sets.sparkSession, fit, make_models(config, train.count()).items(), 2)
     models = {name: model for name, model, _ in done}
     metrics = stage_table(done[0][2].unionByName(done[1][2]), "churn_metrics")
     best = metrics.orderBy(F.desc("pr_auc"), "model").first()["model"]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -91,3 +93,14 @@ def drop_staged(spark: SparkSession) -> None:
 def local_parallelism(spark: SparkSession) -> int:
     """Partition count for small frames whose rows are expensive to compute."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def in_parallel(spark: SparkSession, fn: Callable, jobs: Iterable, workers: int) -> list:
+    """Results of `fn` on each of `jobs`, in their order, run as concurrent Spark jobs.
+
+    Each job gets a copy of the caller's local properties: a shared one would let jobs overwrite each other's
+    execution ids.
+    """
+    with ThreadPoolExecutor(workers) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(fn), job) for job in jobs]
+        return [s.result() for s in started]
