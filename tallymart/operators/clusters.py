@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallymart.config import Config
+from tallymart.operators import kmeans
 from tallymart.session import stage_table
 
 # Inputs of the clusters.
@@ -23,7 +22,6 @@ FEATURES = (
     "avg_delivery_days", "late_rate", "avg_installments", "freight_ratio",
 )
 SKEWED = ("frequency", "monetary", "avg_order_value", "avg_items", "avg_delivery_days")
-PARALLEL_FITS = 6
 
 
 def scaler() -> Pipeline:
@@ -40,42 +38,56 @@ def scaler() -> Pipeline:
     ])
 
 
-def _parallel(spark, fn, jobs: list) -> list:
-    """Run independent fits as concurrent Spark jobs."""
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return list(pool.map(inheritable_thread_target(spark)(fn), jobs))
+def _fit_best(scaled: DataFrame, ks: list[int], config: Config) -> dict[int, kmeans.Fitted]:
+    """Per k the run of least cost over the restarts, all fitted in the same reads of `scaled`."""
+    sample = kmeans.sample_points(scaled, "scaled", config.seed)
+    if not len(sample):
+        raise ValueError("there are no customers to cluster")
+    starts = {
+        kmeans.Run(k, i): kmeans.spread_start(sample, k, config.seed + i)
+        for k in ks for i in range(config.kmeans_restarts)
+    }
+    return kmeans.best_runs(kmeans.fit_all(scaled, "scaled", starts))
 
 
-def _fit_best(scaled: DataFrame, ks: list[int], config: Config) -> dict:
-    """Per k the fitted model of least cost over the restarts; the first restart wins ties."""
-    def fit(job):
-        k, i = job
-        km = KMeans(k=k, seed=config.seed + i, featuresCol="scaled", predictionCol="cluster", maxIter=300)
-        model = km.fit(scaled)
-        return k, (model.summary.trainingCost, i), model
+def _scaled(prepare: PipelineModel, features: DataFrame) -> DataFrame:
+    """The prepared inputs as arrays, written once and kept in memory; every iteration reads them."""
+    arrays = prepare.transform(features).select(vector_to_array("scaled").alias("scaled"))
+    return stage_table(arrays, "scaled").persist()
 
-    fits = _parallel(scaled.sparkSession, fit, [(k, i) for k in ks for i in range(config.kmeans_restarts)])
-    best = {}
-    for k, cost, model in fits:
-        if k not in best or cost < best[k][0]:
-            best[k] = (cost, model)
-    return best
+
+def _scores(scaled: DataFrame, best: dict[int, kmeans.Fitted], config: Config) -> DataFrame:
+    centers = {k: f.centers for k, f in best.items()}
+    squared = kmeans.squared_silhouettes(scaled, "scaled", centers)
+    plain = kmeans.plain_silhouettes(scaled, "scaled", centers, config.seed)
+    rows = [(k, best[k].cost, squared[k], plain[k]) for k in sorted(best)]
+    columns = "k int, inertia double, silhouette double, silhouette_plain double"
+    return scaled.sparkSession.createDataFrame(rows, columns).orderBy("k")
 
 
 def choose_k(features: DataFrame, config: Config) -> DataFrame:
-    """Cost and silhouette per k over all customers: the squared Euclidean silhouette is linear in the rows."""
-    scaled = stage_table(scaler().fit(features).transform(features).select("scaled"), "scaled").persist()
-    best = _fit_best(scaled, list(config.ks), config)
-    evaluator = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster")
+    """Per k the least cost and two silhouettes: of squared distances over all customers, which is linear in the rows,
+    and of plain distances on a sample of bounded size."""
+    scaled = _scaled(scaler().fit(features), features)
+    scores = _scores(scaled, _fit_best(scaled, list(config.ks), config), config)
+    scaled.unpersist()
+    return scores
 
-    def score(k):
-        cost, model = best[k]
-        return k, float(cost[0]), float(evaluator.evaluate(model.transform(scaled)))
 
-    rows = _parallel(features.sparkSession, score, list(config.ks))
-    scaled.unpersist()
-    df = features.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-    return df.orderBy("k")
+def nearest(centers: np.ndarray, means: np.ndarray, deviations: np.ndarray) -> SQLTransformer:
+    """A pipeline stage that adds `cluster`, the number of the nearest centre, from the inputs `z_*` of `scaler`."""
+    def square(center: np.ndarray) -> str:
+        terms = []
+        for c, at, mean, deviation in zip(FEATURES, center.tolist(), means.tolist(), deviations.tolist(), strict=True):
+            # an input that never varies is scaled to 0
+            scaled = f"(z_{c} - ({mean!r}D)) / {deviation!r}D" if deviation else "0D"
+            terms.append(f"pow({scaled} - ({at!r}D), 2)")
+        return " + ".join(terms)
+
+    away = f"array({', '.join(square(c) for c in centers)})"
+    return SQLTransformer(statement=(
+        f"SELECT *, CAST(array_position(_away, array_min(_away)) - 1 AS INT) AS cluster FROM (SELECT *, {away} AS _away FROM __THIS__)"
+    ))
 
 
 def best_k(scores: DataFrame) -> int:
@@ -132,10 +144,11 @@ def cluster(features: DataFrame, config: Config, k: int | None = None) -> Cluste
         scores = choose_k(features, config)
         k = best_k(scores)
     prepare = scaler().fit(features)
-    scaled = stage_table(prepare.transform(features).select("scaled"), "scaled").persist()
-    model = _fit_best(scaled, [k], config)[k][1]
+    scaled = _scaled(prepare, features)
+    centers = _fit_best(scaled, [k], config)[k].centers
     scaled.unpersist()
-    full = PipelineModel(stages=[*prepare.stages, model])
+    standard = prepare.stages[-1]
+    full = PipelineModel(stages=[*prepare.stages, nearest(centers, standard.mean.toArray(), standard.std.toArray())])
     labels = full.transform(features).select("customer_unique_id", "cluster", *FEATURES)
     profile = named_profile(profile_of(labels))
     names = profile.select("cluster", "cluster_name")
