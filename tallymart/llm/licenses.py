@@ -4,7 +4,8 @@ Documents and templates become hashes of five-word shingles. A window is a few c
 the least hash under each of several permutations, one per band. Template windows start at every word and form a
 broadcast table; document windows overlap, so a template's words lie whole in several of them. A window that holds all
 of even a one-shingle template shares a quarter of its shingles, so with 16 bands in two windows the chance that none
-collides is 0.75 ** 32 = 0.0001; one that lies inside an exact copy always collides. Each hit is verified by the share
+collides is 0.75 ** 32 = 0.0001; one that lies inside an exact copy always collides. A band's least hash can only meet
+that of a template if it comes from a template's shingle, so windows without one are not signed. Each hit is verified by the share
 of the template's distinct shingles in the words around. All of it is built-in functions.
 """
 
@@ -20,6 +21,8 @@ SHINGLE, CONTAINMENT = 5, 0.8
 WINDOW, STRIDE, BANDS = 4, 2, 16
 #: A template table takes at most this many distinct windows, 40 bytes each, for its broadcast; more are shuffled.
 MAX_BROADCAST_WINDOWS = 1_000_000
+#: Up to so many distinct shingles of all templates are looked up before any window is signed.
+MAX_LISTED_SHINGLES = 10_000
 
 
 def _gnu(adjective: str, number: str) -> tuple[str, ...]:
@@ -146,6 +149,25 @@ def windows_of(hashes: Column, stride: int) -> Column:
     return F.transform(starts, lambda i: F.slice(hashes, i, WINDOW))
 
 
+def template_shingles(templates: DataFrame) -> list[int] | None:
+    """The distinct shingles of all templates, or None where they are too many for a list."""
+    rows = with_shingles(templates, "text").select(F.explode("_hashes").alias("h")).distinct().limit(MAX_LISTED_SHINGLES + 1)
+    found = sorted(r["h"] for r in rows.collect())
+    return found if len(found) <= MAX_LISTED_SHINGLES else None
+
+
+def window_places(hashes: Column, listed: list[int] | None) -> Column:
+    """Starts of the windows, every STRIDE shingles; with `listed`, of those that hold one of these shingles."""
+    n = F.size(hashes)
+    none = F.array().cast("array<int>")
+    if listed is None:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(STRIDE))).otherwise(none)
+    found = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(listed), i)), lambda i: i.isNotNull())
+    first = lambda i: F.greatest(F.ceil((i - WINDOW + 1) / STRIDE), F.lit(0)).cast("int") * STRIDE
+    around = F.flatten(F.transform(found, lambda i: F.sequence(first(i), F.floor(i / STRIDE).cast("int") * STRIDE, F.lit(STRIDE))))
+    return F.array_distinct(around)
+
+
 def slack(n_shingles: Column) -> Column:
     """Words around the aligned place in which a template's shingles are looked for."""
     return F.greatest(F.lit(8), F.ceil(n_shingles / 4).cast("int"))
@@ -176,9 +198,16 @@ def find_licenses(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id",
         index = F.broadcast(index)
     known, who = identity(docs, doc_id, text), ["_no_id", "_of", "_hash"]
     hashed = with_shingles(known, "_text").select(*who, "_hashes")
+    listed = template_shingles(templates)
+    windows = F.transform(
+        window_places(F.col("_hashes"), listed),
+        lambda at: F.struct(at.alias("at"), F.slice(F.col("_hashes"), at + 1, WINDOW).alias("window")),
+    )
     # the outer form keeps Spark from computing the windows once more to see whether there are any
-    cut = hashed.select(*who, F.posexplode_outer(windows_of(F.col("_hashes"), STRIDE)).alias("_n", "_window"))
-    probes = cut.where(F.col("_n").isNotNull()).select(*who, (F.col("_n") * STRIDE).alias("_at"), F.explode(signature(F.col("_window"))).alias("sig"))
+    cut = hashed.select(*who, F.explode_outer(windows).alias("_w")).where(F.col("_w").isNotNull())
+    probes = cut.select(*who, F.col("_w.at").alias("_at"), F.col("_w.window").alias("_window")).select(
+        *who, "_at", F.explode(signature(F.col("_window"))).alias("sig")
+    )
     place = F.struct((F.col("_at") - F.col("place")).alias("begin"), "license", "length", "template")
     hits = probes.join(index, "sig").groupBy(*who).agg(F.collect_set(place).alias("_hits"))
 
