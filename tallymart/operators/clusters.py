@@ -40,7 +40,7 @@ def scaler() -> Pipeline:
 
 def _fit_best(scaled: DataFrame, ks: list[int], config: Config) -> dict[int, kmeans.Fitted]:
     """Per k the run of least cost over the restarts, all fitted in the same reads of `scaled`."""
-    sample = kmeans.sample_points(scaled, "scaled", config.seed)
+    sample = kmeans.sample_points(scaled, "scaled", config.seed, kmeans.START_SAMPLE)
     if not len(sample):
         raise ValueError("there are no customers to cluster")
     starts = {

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Starting centres, and the plain Euclidean silhouette, are worked out on at most so many points.
-SAMPLE = 10_000
-MAX_ITERATIONS, TOLERANCE = 300, 1e-8
+#: The plain Euclidean silhouette, and the starting centres, are worked out on at most so many points.
+SAMPLE, START_SAMPLE = 10_000, 2_000
+#: A run ends when the squares of its centres' moves, over all coordinates, add up to the tolerance or less.
+MAX_ITERATIONS, TOLERANCE = 300, 1e-4
 
 
 class Run(NamedTuple):
@@ -54,11 +55,10 @@ def spread_start(points: np.ndarray, k: int, seed: int) -> np.ndarray:
         centers = np.vstack([centers, points[rng.choice(len(points), p=weights)]])
     for _ in range(MAX_ITERATIONS):
         near = _squares(points, centers).argmin(1)
-        many = np.bincount(near, minlength=k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, near, points)
-        moved = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centers)
-        if np.abs(moved - centers).max() <= TOLERANCE:
+        chosen = (near == np.arange(k)[:, None]).astype(float)
+        many = chosen.sum(1)[:, None]
+        moved = np.where(many > 0, chosen @ points / np.maximum(many, 1), centers)
+        if ((moved - centers) ** 2).sum() <= TOLERANCE:
             break
         centers = moved
     return centers
@@ -122,7 +122,7 @@ def fit_all(points: DataFrame, column: str, starts: dict[Run, np.ndarray], max_i
         for run, sums in _sums(points, column, active, _assign).items():
             centers, many = active[run], sums[:, -3]
             moved = np.where(many[:, None] > 0, sums[:, :-3] / np.maximum(many, 1)[:, None], centers)
-            if step == max_iterations or np.abs(moved - centers).max() <= TOLERANCE:
+            if step == max_iterations or ((moved - centers) ** 2).sum() <= TOLERANCE:
                 done[run] = Fitted(centers, float(sums[:, -2].sum()), step)
                 del active[run]
             else:

@@ -29,7 +29,7 @@ def plain_lloyd(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, float]:
         far = ((x[:, None] - centers[None]) ** 2).sum(2)
         near = far.argmin(1)
         moved = np.array([x[near == c].mean(0) if (near == c).any() else centers[c] for c in range(len(centers))])
-        if np.abs(moved - centers).max() <= kmeans.TOLERANCE:
+        if ((moved - centers) ** 2).sum() <= kmeans.TOLERANCE:
             return centers, far.min(1).sum()
         centers = moved
 
