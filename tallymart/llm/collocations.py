@@ -29,8 +29,10 @@ from tallymart.llm.units import text_slices
 LONGEST, LEAST, TOP, SHARDS, COVERED = 3, 10, 2000, 4, 50
 #: The sketch has 2 ** CELL_BITS cells, half of them for the longest phrases; its 2 ** PARTS parts travel as one row each.
 CELL_BITS, PARTS = 26, 6
+#: At most 2 ** NUMBER_BITS of the most frequent words are broadcast, 8 bytes each.
+NUMBER_BITS = 20
 NEVER = 255
-SLICE = 8 << 20
+SLICE = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -78,15 +80,18 @@ class Words:
         new[1:] = (gaps[1:] != gaps[:-1]) | (doc[1:] != doc[:-1])
         self.piece = np.cumsum(new)
 
-    def phrases(self, longest: int, cell_bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, whether a phrase of it starts at each word, its cell): shorter lengths first."""
+    def phrases(self, longest: int, cell_bits: int, marked: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, whether a phrase of it starts at each word, its cell): shorter lengths first.
+
+        The longest phrases have cells of their own, if `marked`.
+        """
         n, hashed = len(self.ids), self.ids
         for length in range(1, longest + 1):
             size = max(n - length + 1, 0)
             if length > 1:
                 hashed = _mix(hashed[:size] * np.uint64(0xD6E8FEB86659FD93) + self.ids[length - 1:length - 1 + size])
             cell = (_mix(hashed) >> np.uint64(64 - cell_bits + 1)).astype(np.int64)
-            if length == longest:
+            if length == longest and marked:
                 cell |= 1 << (cell_bits - 1)
             yield length, self.piece[:size] == self.piece[length - 1:length - 1 + size], cell
 
@@ -194,43 +199,94 @@ def reached_cells(texts: DataFrame, shards: int, longest: int, least: int, seed:
     return levels
 
 
-def count_phrases(texts: DataFrame, levels: np.ndarray, longest: int, least: int, seed: int) -> DataFrame:
-    """Exact counts of the phrases whose cells have reached the threshold.
-
-    Columns `size` (words; 0 for the total of a language), `k0`... (word ids, 0 beyond `size`), `lang` and `word` (of
-    sizes 0 and 1) and `n`. Phrases of two words or more have counts of `least` or more.
-    """
-    shared, keys = _Shared(texts.sparkSession, levels, -1), [f"k{i}" for i in range(longest)]
-    types = [pa.int32(), *[pa.int64()] * longest, pa.string(), pa.string(), pa.int64()]
-    names = ["size", *keys, "lang", "word", "n"]
-
-    def rows(size: int, ids: list, n, lang=None, word=None) -> pa.RecordBatch:
-        many = len(n)
-        columns = [np.full(many, size), *ids, *[np.zeros(many, np.int64)] * (longest - len(ids)),
-                   lang or [None] * many, word or [None] * many, n]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+def count_words(texts: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
+    """`size` 0: words of each `lang`; `size` 1: `k0`, `lang`, `word` and its count, for words whose cell was reached."""
+    shared = _Shared(texts.sparkSession, levels, -1)
+    types, names = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()), ["size", "k0", "lang", "word", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = _levels(shared) != NEVER
+        levels = _levels(shared)
         for batch in batches:
             for words in _words_of(batch, seed):
                 times = np.bincount(words.index, minlength=len(words.own))
                 totals = np.bincount(words.lang, weights=times, minlength=len(words.langs)).astype(np.int64)
-                yield rows(0, [], totals, lang=words.langs)
+                _, _, cell = next(words.phrases(1, shared.size.bit_length() - 1, False))
+                often = np.unique(words.index[levels[cell] != NEVER])
+                strings = words.strings.take(pa.array(words.word[often])).cast(pa.large_string()).to_pylist()
+                langs = [words.langs[i] for i in words.lang[often].tolist()]
+                for columns in (
+                    [np.zeros(len(totals)), np.zeros(len(totals)), words.langs, [None] * len(totals), totals],
+                    [np.ones(len(often)), words.own[often].view(np.int64), langs, strings, times[often]],
+                ):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    counted = texts.select("text", "lang").mapInArrow(count, "size int, k0 long, lang string, word string, n long")
+    return stage(counted.groupBy("size", "k0", "lang", "word").agg(F.sum("n").alias("n")), "words")
+
+
+def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longest: int, least: int, seed: int) -> DataFrame:
+    """Exact counts of `least` or more of phrases of two words or more: `size`, `k0`... (0 beyond `size`) and `n`.
+
+    The most frequent words, at most 2 ** NUMBER_BITS, get numbers; that list has a fixed bound and is broadcast. A
+    phrase of numbered words travels as one 64-bit key, any other as the ids of its words.
+    """
+    spark, keys = texts.sparkSession, [f"k{i}" for i in range(longest)]
+    shared = _Shared(spark, levels, -2)
+    bits = min(NUMBER_BITS, 60 // longest)
+    top = words.where((F.col("size") == 1) & (F.col("n") >= least)).groupBy("k0").agg(F.sum("n").alias("n"))
+    top = top.orderBy(F.desc("n"), "k0").limit((1 << bits) - 1)
+    numbered = np.sort(np.array([r["k0"] for r in top.select("k0").toLocalIterator()], np.int64))
+    known = spark.sparkContext.broadcast(numbered)
+
+    def row(keys_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        bounds = np.arange(len(keys_) + 1, dtype=np.int32) * (keys_.itemsize * keys_.shape[1])
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(keys_), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(keys_))])
+        return pa.RecordBatch.from_arrays([packed, pa.array(n, pa.int64())], ["key", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, numbered = _levels(shared), known.value
+        for batch in batches:
+            for words in _words_of(batch, seed):
+                own = words.own.view(np.int64)
+                place = np.searchsorted(numbered, own)
+                place[place == len(numbered)] = 0
+                number = np.where(numbered[place] == own, place + 1, 0) if len(numbered) else np.zeros(len(own), np.int64)
+                number, ids = number[words.index], words.ids.view(np.int64)
                 for length, whole, cell in words.phrases(longest, shared.size.bit_length() - 1):
-                    at = np.flatnonzero(whole & reached[cell])
                     if length == 1:
-                        often = np.unique(words.index[at])
-                        strings = words.strings.take(pa.array(words.word[often])).cast(pa.large_string()).to_pylist()
-                        yield rows(1, [words.own[often].view(np.int64)], times[often], [words.langs[i] for i in words.lang[often].tolist()], strings)
-                    elif len(at):
-                        ids = pa.table({k: words.ids[at + i].view(np.int64) for i, k in enumerate(keys[:length])})
-                        found = ids.group_by(keys[:length], use_threads=False).aggregate([([], "count_all")])
-                        yield rows(length, [found.column(k).to_numpy() for k in keys[:length]], found.column("count_all").to_numpy())
-
-    schema = ", ".join(["size int", *[f"{k} long" for k in keys], "lang string", "word string", "n long"])
-    counted = texts.select("text", "lang").mapInArrow(count, schema).groupBy("size", *keys, "lang", "word").agg(F.sum("n").alias("n"))
-    return stage(counted.where((F.col("size") < 2) | (F.col("n") >= least)), "phrases", by="size")
+                        continue
+                    at = np.flatnonzero(whole & (levels[cell] != NEVER))
+                    parts = [number[at + i] for i in range(length)]
+                    plain = np.logical_and.reduce([p > 0 for p in parts])
+                    key = np.zeros(int(plain.sum()), np.int64)
+                    for i in range(longest):
+                        key = (key << bits) | (parts[i][plain] if i < length else 0)
+                    key, n = np.unique(key, return_counts=True)
+                    yield row(key.reshape(-1, 1), n)
+                    if not plain.all():
+                        rare = at[~plain]
+                        table = pa.table({k: ids[rare + i] for i, k in enumerate(keys[:length])})
+                        found = table.group_by(keys[:length], use_threads=False).aggregate([([], "count_all")])
+                        yield row(np.stack([found.column(k).to_numpy() for k in keys[:length]], 1), found.column("count_all").to_numpy())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbered = np.concatenate([[0], known.value])
+        for batch in batches:
+            taken = [k.as_py() for k in batch.column(0)]
+            wide = np.array([len(k) // 8 for k in taken], np.int64)
+            ids = np.zeros((len(taken), longest), np.int64)
+            at = np.flatnonzero(wide == 1)
+            key = np.frombuffer(b"".join(taken[i] for i in at), np.int64)
+            for i in range(longest):
+                ids[at, i] = numbered[key >> (bits * (longest - 1 - i)) & ((1 << bits) - 1)]
+            for i in np.flatnonzero(wide > 1):
+                ids[i, :wide[i]] = np.frombuffer(taken[i], np.int64)
+            size = (ids != 0).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(size), *[pa.array(ids[:, i]) for i in range(longest)], batch.column(1)], ["size", *keys, "n"])
+
+    counted = texts.select("text", "lang").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    schema = ", ".join(["size int", *[f"{k} long" for k in keys], "n long"])
+    return stage(counted.where(F.col("n") >= least).mapInArrow(read, schema), "phrases", by="size")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -238,11 +294,11 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(1_000_000).cast("decimal(7,0)") * (wide(a) * wide(a)).cast("decimal(31,0)"), wide(left) * wide(right))
 
 
-def candidates(counted: DataFrame, longest: int, least: int, covered: int) -> DataFrame:
+def candidates(counted: DataFrame, words: DataFrame, longest: int, covered: int) -> DataFrame:
     """Phrases of two words or more with their weakest cut, those that a longer one covers left out."""
     keys = [f"k{i}" for i in range(longest)]
     of_size = {j: counted.where(F.col("size") == j).select(*keys[:j], F.col("n").alias("f")) for j in range(2, longest + 1)}
-    words = counted.where("size = 1 AND n >= {least}".format(least=least)).select("k0", "lang", "word", F.col("n").alias("f"))
+    words = words.where("size = 1").select("k0", "lang", "word", F.col("n").alias("f"))
     out = None
     for j in range(2, longest + 1):
         found = of_size[j].withColumnRenamed("f", "a")
@@ -295,13 +351,13 @@ def mine_phrases(
     )
     texts = stage(dealt, "shards", by="shard")
     levels = reached_cells(texts, shards, longest, least, seed, cell_bits)
-    counted = count_phrases(texts, levels, longest, least, seed)
-    shared_id = counted.where("size = 1").groupBy("k0").agg(F.count(F.lit(1)).alias("words")).where("words > 1")
-    if not shared_id.isEmpty():
+    words = count_words(texts, levels, seed)
+    if not words.where("size = 1").groupBy("k0").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
         return mine_phrases(docs, text, lang, longest, least, top, covered, shards, seed + 2, cell_bits)
-    totals = counted.where("size = 0").select("lang", "n")
+    counted = count_phrases(texts, words, levels, longest, least, seed)
+    totals = words.where("size = 0").select("lang", "n")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = candidates(counted, longest, least, covered).withColumn("rank", F.row_number().over(best).cast("long"))
+    ranked = candidates(counted, words, longest, covered).withColumn("rank", F.row_number().over(best).cast("long"))
     return ranked.where(F.col("rank") <= top).join(totals, "lang").select(
         "lang", "rank", "phrase", "a", "l", "r", "n", "score"
     )

@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymart.llm.bpe import SLICE, encoder
 from tallymart.llm.common import scratch_path, stage
 from tallymart.llm.shared_files import file_system, mapped
+from tallymart.llm.units import token_store
 
 MANIFEST = "part int, prefix string, dtype string, n_docs long, n_tokens long"
 
@@ -42,34 +42,31 @@ def write_tokens(
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = encoder(path)
-        kind = "<u2" if max(make.vocabulary - 1, end_id) < 1 << 16 else "<u4"
+        store_of = token_store(path)
+        kind = "<u2" if max(store_of.vocabulary - 1, end_id) < 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
         prefix = f"{root}/shard-{part:06d}-{uuid.uuid4().hex}"
         store, local = file_system(prefix)
         store.create_dir(local.rpartition("/")[0], recursive=True)
-        sizes, ids, end = [], [], np.array([end_id], kind).tobytes()
+        sizes, ids = [], []
         with store.open_output_stream(f"{local}.ids") as f:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids.append(batch.column(0))
-                for at in range(0, batch.num_rows, SLICE):
-                    parts = []
-                    for e in make.encode(batch.column(1).slice(at, SLICE).to_pylist()):
-                        parts += [np.frombuffer(e, "<u4").astype(kind).tobytes(), end]
-                        sizes.append(len(e) // 4 + 1)
-                    f.write(b"".join(parts))
+                for tokens, bounds in store_of.encode(batch.column(1)):
+                    f.write(np.insert(tokens.astype(kind), bounds[1:], end_id).tobytes())
+                    sizes.append(np.diff(bounds) + 1)
         if not sizes:
             store.delete_file(f"{local}.ids")
             return
         column = pa.chunked_array(ids)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<u8")
         for name, data in (("offsets", offsets), ("docs", column.fill_null(0).to_numpy().astype("<i8")),
                            ("null", column.is_null().to_numpy().astype("u1"))):
             with store.open_output_stream(f"{local}.{name}") as f:
                 f.write(data.tobytes())
-        row = [[part], [prefix], [kind], [len(sizes)], [int(offsets[-1])]]
+        row = [[part], [prefix], [kind], [len(offsets) - 1], [int(offsets[-1])]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
             ["part", "prefix", "dtype", "n_docs", "n_tokens"],

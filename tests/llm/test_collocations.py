@@ -82,39 +82,44 @@ def test_repeated_rows_and_empty_tables(spark):
 
 
 def test_words_with_one_id_count_again(spark, monkeypatch):
-    seen = []
-
     class Same(collocations.Words):
         def __init__(self, data, bounds, langs, seed):
             super().__init__(data, bounds, langs, seed)
-            seen.append(seed)
             if seed == 0:
                 self.own = np.full(len(self.own), 7, np.uint64)
                 self.ids = self.own[self.index]
 
     same = Same(np.frombuffer(b"a b", np.uint8), np.array([0, 3]), ["en"], 0)
     assert same.ids.tolist() == [7, 7]
-    counted = spark.createDataFrame(
-        [(1, 7, 0, 0, "en", "a", 10), (1, 7, 0, 0, "en", "b", 10)], "size int, k0 long, k1 long, k2 long, lang string, word string, n long"
+    shared = spark.createDataFrame(
+        [(1, 7, "en", "a", 10), (1, 7, "en", "b", 10)], "size int, k0 long, lang string, word string, n long"
     )
-    first = []
+    seeds = []
 
-    def count(texts, levels, longest, least, seed):
-        first.append(seed)
-        return counted if len(first) == 1 else original(texts, levels, longest, least, seed)
+    def count(texts, levels, seed):
+        seeds.append(seed)
+        return shared if len(seeds) == 1 else original(texts, levels, seed)
 
-    original = collocations.count_phrases
-    monkeypatch.setattr(collocations, "count_phrases", count)
+    original = collocations.count_words
+    monkeypatch.setattr(collocations, "count_words", count)
     rows = [("a b", "en")] * 10
     assert mined(spark.createDataFrame(rows, "text string, lang string")) == plain_phrases(rows, 3, 10, 2000, 50)
-    assert first == [0, 2]
+    assert seeds == [0, 2]
+
+
+def test_words_without_a_number(spark, monkeypatch):
+    # only the most frequent words have numbers; here that is one
+    monkeypatch.setattr(collocations, "NUMBER_BITS", 1)
+    rows = some_rows(4)
+    assert mined(spark.createDataFrame(rows, "text string, lang string"), least=4) == plain_phrases(rows, 3, 4, 2000, 50)
 
 
 def test_scores_beyond_64_bits(spark):
-    counted = spark.createDataFrame(
-        [(1, 1, 0, "en", "x", 4_000_000_000_007), (1, 2, 0, "en", "y", 4_000_000_000_009), (2, 1, 2, None, None, 3_999_999_999_999)],
-        "size int, k0 long, k1 long, lang string, word string, n long",
+    words = spark.createDataFrame(
+        [(1, 1, "en", "x", 4_000_000_000_007), (1, 2, "en", "y", 4_000_000_000_009)],
+        "size int, k0 long, lang string, word string, n long",
     )
-    row = collocations.candidates(counted, 2, 10, 50).first()
+    counted = spark.createDataFrame([(2, 1, 2, 3_999_999_999_999)], "size int, k0 long, k1 long, n long")
+    row = collocations.candidates(counted, words, 2, 50).first()
     a, left, right = 3_999_999_999_999, 4_000_000_000_007, 4_000_000_000_009
     assert (row["a"], row["l"], row["r"], row["score"]) == (a, left, right, 1_000_000 * a * a // (left * right))
