@@ -181,7 +181,7 @@ weeks AS (SELECT unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 7
 known AS (
   SELECT category AS series, week, n FROM cat_weeks WHERE category IN (SELECT category FROM top_cats)
   UNION ALL SELECT '__total__', week, sum(n) FROM cat_weeks GROUP BY week),
-panel AS (
+panel AS MATERIALIZED (
   SELECT s.series, w.week, coalesce(k.n, 0)::DOUBLE AS y
   FROM (SELECT category AS series FROM top_cats UNION ALL SELECT '__total__') s CROSS JOIN weeks w
   LEFT JOIN known k ON k.series = s.series AND k.week = w.week)"""
@@ -225,8 +225,8 @@ baselines AS (
   UNION ALL
   SELECT fold, cutoff, series, 'moving_avg_4', h,
          list_sum(ys[greatest(len(ys) - 3, 1):len(ys)]) / least(len(ys), 4) FROM hist, steps),
-fc AS (SELECT *, cutoff + 7 * h AS week FROM baselines),
-bt AS (SELECT fc.*, p.y FROM fc JOIN panel p USING (series, week) WHERE fold >= 1)"""
+fc AS MATERIALIZED (SELECT *, cutoff + 7 * h AS week FROM baselines),
+bt AS MATERIALIZED (SELECT fc.*, p.y FROM fc JOIN panel p USING (series, week) WHERE fold >= 1)"""
 FC = (PANEL, FOLDS)
 ERRORS = """avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse,
        sum(abs(yhat - y)) / greatest(sum(abs(y)), 1e-9) AS wape,
@@ -234,11 +234,11 @@ ERRORS = """avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rms
        sum(yhat - y) / greatest(sum(abs(y)), 1e-9) AS bias"""
 ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in ("mae", "rmse", "wape", "smape", "bias"))
 BEST = f"""
-by_series AS (SELECT series, model, {ERRORS} FROM bt GROUP BY series, model),
-best AS (SELECT series, model, wape FROM (
+by_series AS MATERIALIZED (SELECT series, model, {ERRORS} FROM bt GROUP BY series, model),
+best AS MATERIALIZED (SELECT series, model, wape FROM (
   SELECT *, row_number() OVER (PARTITION BY series ORDER BY wape, model) AS rn FROM by_series) WHERE rn = 1)"""
 INTERVALS = """
-spread AS (SELECT series, model, h, quantile_cont((y - yhat) / greatest(yhat, 1), 0.1) AS q10,
+spread AS MATERIALIZED (SELECT series, model, h, quantile_cont((y - yhat) / greatest(yhat, 1), 0.1) AS q10,
                   quantile_cont((y - yhat) / greatest(yhat, 1), 0.9) AS q90 FROM bt GROUP BY series, model, h),
 final AS (
   SELECT f.series, f.week, f.model, f.yhat, f.h, greatest(least(f.yhat * (1 + coalesce(q10, -0.2)), f.yhat), 0) AS lower,
@@ -426,6 +426,8 @@ SELECT cluster::BIGINT AS cluster, cluster_name, customers,
        {', '.join(f'round({c}, 4) AS {c}' for c in PROFILE_FEATURES)} FROM clusters""", NOW_FEATURES, CLUSTERS),
     "affinity_order": star(AFFINITY_SELECT, AFFINITY.format(key="order_id", least=5, support=0.0215)),
     "affinity_customer": star(AFFINITY_SELECT, AFFINITY.format(key="customer_unique_id", least=5, support=0.18)),
+    "affinity_order_all": star(AFFINITY_SELECT, AFFINITY.format(key="order_id", least=5, support=0)),
+    "affinity_customer_all": star(AFFINITY_SELECT, AFFINITY.format(key="customer_unique_id", least=5, support=0)),
     "affinity_top": star(AFFINITY_SELECT + " ORDER BY lift DESC, pair_count DESC, antecedent, consequent LIMIT 20",
                          AFFINITY.format(key="customer_unique_id", least=5, support=0)),
     "clv_by_segment": star("""

@@ -502,6 +502,8 @@ def _customer_queries() -> dict[str, Query]:
         "cluster_profile": cluster_profile,
         "affinity_order": affinity_of("order", CONFIG.min_pair_count, 0.0215),
         "affinity_customer": affinity_of("customer", CONFIG.min_pair_count, 0.18),
+        "affinity_order_all": affinity_of("order", CONFIG.min_pair_count),
+        "affinity_customer_all": affinity_of("customer", CONFIG.min_pair_count),
         "affinity_top": affinity_top,
         "clv_by_segment": lambda spark, d: show(_rounded(
             insights.clv_by_segment(master(spark, d)), {"avg_clv": 4, "total_clv": 4, "p_repeat": 9}

@@ -162,3 +162,12 @@ def test_target_list(spark):
     assert (row["matched"], row["expected_repeaters"]) == (1000, 500.0)
     assert serving.customer_by_id(customers(spark), 5).count() == 1
     assert serving.customer_by_id(customers(spark), -1).isEmpty()
+
+
+def test_affinity_floor_cuts_and_the_full_list_does_not(spark):
+    rows = [(f"o{i}", c) for i in range(20) for c in (("a", "b") if i < 12 else ("a", "c") if i < 18 else ("b", "d"))]
+    items = spark.createDataFrame(rows, "order_id string, category string")
+    pairs = lambda *a: {(r["antecedent"], r["consequent"], r["pair_count"]) for r in affinity.category_affinity(items, "order", *a).collect()}
+    assert pairs(5) == {("a", "b", 12), ("b", "a", 12), ("a", "c", 6), ("c", "a", 6)}
+    assert pairs(5, 0.5) == {("a", "b", 12), ("b", "a", 12)}
+    assert len(pairs(1)) == 6
