@@ -162,3 +162,34 @@ def test_series_code_is_a_name_to_the_trees(spark):
     assert boosted.nominal(["x", "y"])["ml_attr"]["vals"] == ["x", "y"]
     text = model.stages[-1].toDebugString
     assert f"feature {code} <=" not in text  # a set of names splits, never an order of codes
+
+
+def test_compiled_trees_equal_the_model_step_by_step(spark):
+    import random
+
+    from tallymart.config import Config
+    from tallymart.operators import boosted
+    from tallymart.operators.calendar import calendar_features
+
+    rng = random.Random(4)
+    panel = None
+    for series in "abcde":
+        ys = [rng.randint(0, 40) + 10 * (i % 4) * (series < "c") for i in range(40)]
+        one = panel_of(spark, ys, series)
+        panel = one if panel is None else panel.unionAll(one)
+    model = boosted.fit(panel, Config(gbt_rounds=25))
+    nodes = [n for _, tree in boosted.compiled(model) for n in tree]
+    assert len(boosted.compiled(model)) == 25 and any(n.names for n in nodes) and any(n.left and n.names is None for n in nodes)
+    codes = demand.supervised(panel).select("series", F.col("series_code").cast("double").alias("series_code")).distinct()
+    hist = forecasting.histories(panel, 3, [0]).join(codes, "series")
+    got = {(r["series"], r["h"]): r["yhat"] for r in boosted.predict(model, hist, 3).collect()}
+    state = hist.select("series", "series_code", "cutoff", F.expr("transform(ys, y -> log1p(y))").alias("tail"))
+    for h in (1, 2, 3):
+        row = state.withColumn("week", F.date_add("cutoff", 7 * h))
+        row = row.join(calendar_features(row.select("week").distinct()), "week")
+        row = row.withColumns({c: F.expr(e) for c, e in boosted._step_features("tail").items()})
+        made = model.transform(row).withColumn("yhat", F.greatest(F.expm1("predicted"), F.lit(0.0))).cache()
+        for r in made.collect():
+            assert got[r["series"], h] == pytest.approx(r["yhat"], abs=1e-9)
+        state = made.select("series", "series_code", "cutoff", F.concat("tail", F.array(F.log1p("yhat"))).alias("tail"))
+    assert len(got) == 15 and len(set(got.values())) > 5
