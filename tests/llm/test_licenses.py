@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+from tallymart.llm import licenses
 from tallymart.llm.licenses import CONTAINMENT, TEMPLATES, find_licenses, template_table
 
 SCHEMA = "doc_id long, text string, license string, spans int"
@@ -114,3 +115,13 @@ def test_empty_tables(spark):
     assert find_licenses(docs.limit(0), template_table(spark, TEMPLATES)).count() == 0
     none = find_licenses(docs, spark.createDataFrame([], "license string, text string")).collect()
     assert len(none) == 8 and not any(r["licenses"] for r in none)
+
+
+def test_windows_without_a_list_of_shingles(spark, monkeypatch):
+    texts = ["x " * 9 + "released under the mit license " + "y " * 9, "mit license", "licensed under cc by 4.0", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = licenses.template_table(spark, licenses.TEMPLATES)
+    found = lambda: sorted((r["doc_id"], r["licenses"]) for r in licenses.find_licenses(docs, templates).collect())
+    listed = found()
+    monkeypatch.setattr(licenses, "MAX_LISTED_SHINGLES", 0)
+    assert found() == listed == [(0, ["MIT"]), (1, []), (2, ["CC-BY-4.0"]), (3, [])]
