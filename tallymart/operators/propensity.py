@@ -6,13 +6,14 @@ the window that starts with it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.config import Config
@@ -23,7 +24,7 @@ from tallymart.operators.features import (
     with_categories,
     with_state_flags,
 )
-from tallymart.operators.ranking import quintile, with_running_totals
+from tallymart.operators.ranking import quintile, rows_at, with_running_totals
 from tallymart.session import in_parallel, stage_table
 
 NUMERIC = (
@@ -123,21 +124,27 @@ def binary_metrics(scored: DataFrame, label: str = "repeat", score: str = "p_rep
                    tie: str = "customer_unique_id", top: float = 0.1) -> DataFrame:
     """ROC-AUC, average precision, base rate, lift of the top share and Brier score, from exact ranks.
 
-    Equal scores share a threshold in the first two; in the lift they are taken in the order of `tie`.
+    Equal scores share a threshold in the first two; in the lift they are taken in the order of `tie`. Equal
+    scores are counted before they are sorted, and the last row of the top share is found without a sort.
+    Rows without a score come last.
     """
     rows = scored.select(
-        F.col(score).alias("p"), F.col(tie).alias("id"), F.col(label).cast("bigint").alias("y"),
-        F.lit(1).cast("bigint").alias("one"),
+        F.coalesce(-F.col(score), F.lit(math.inf)).alias("v"), F.col(tie).alias("t"), F.col(label).cast("bigint").alias("y"),
     )
-    run = with_running_totals(rows, [F.desc("p"), F.col("id")], {"y": "tp", "one": "r"})
-    whole = run.agg(F.struct(F.sum("one").alias("n"), F.sum("y").alias("pos"))).scalar()
-    run = run.withColumn("_all", whole)
-    n, pos = F.col("_all.n"), F.col("_all.pos")
-    cut = F.greatest(F.lit(1), F.floor(n * top))
-    by_score = run.groupBy("p", "_all").agg(
-        F.sum("one").alias("k"), F.sum("y").alias("kpos"), F.max("tp").alias("tp"), F.max("r").alias("r"),
-        F.sum(F.when(F.col("r") <= cut, F.col("y")).otherwise(0)).alias("top"),
+    rows = stage_table(rows, "judged")
+    size = rows.count()
+    first = max(1, math.floor(size * top))
+    last = rows_at(rows.select("v", "t"), [first], size)[0] if size else Row(v=None, t=None)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    end = F.struct(F.lit(last["v"]).cast(kinds["v"]).alias("v"), F.lit(last["t"]).cast(kinds["t"]).alias("t"))
+    counts = rows.groupBy("v").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("y").alias("kpos"),
+        F.sum(F.when(F.struct("v", "t") <= end, F.col("y")).otherwise(0)).alias("top"),
     )
+    run = with_running_totals(counts, [F.col("v")], {"k": "r", "kpos": "tp"})
+    whole = run.agg(F.struct(F.sum("k").alias("n"), F.sum("kpos").alias("pos"))).scalar()
+    by_score = run.withColumns({"_all": whole, "p": F.when(F.col("v") < math.inf, -F.col("v"))})
+    n, pos, cut = F.col("_all.n"), F.col("_all.pos"), F.lit(first)
     neg = n - pos
     k_neg = F.col("k") - F.col("kpos")
     below = neg - (F.col("r") - F.col("tp"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from decimal import Decimal
 from fractions import Fraction
 from math import ceil
 from statistics import median
@@ -23,6 +24,78 @@ def test_quintile_is_the_rank_cut(spark, n, descending):
     assert got == want
 
 
+def _bins(spark, rows, schema, cuts, descending=False):
+    df = ranking.with_rank_bin(spark.createDataFrame(rows, schema).repartition(7), F.col("v"), "id", cuts, "b", descending)
+    return {r["id"]: r["b"] for r in df.collect()}
+
+
+def _wanted(ids, cuts):
+    n = len(ids)
+    ends = [(n - 1) * q.numerator // q.denominator + 1 for q in cuts]
+    return {i: 1 + sum(r > e for e in ends) for r, i in enumerate(ids, 1)}
+
+
+CUTS = [Fraction(1, 100), Fraction(1, 3), Fraction(1, 2), Fraction(1, 2), Fraction(19, 20)]
+
+
+@pytest.mark.parametrize("in_one_task", [0, 1, 1_000_000])
+def test_cuts_inside_one_value_that_most_rows_have(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ranking, "ROWS_IN_ONE_TASK", in_one_task)
+    rng = random.Random(5)
+    rows = [(f"{rng.choice(['same-head-', '\u00e9', ''])}{i * 7919 % 6007}", rng.choice([1.5, 1.5, 1.5, rng.random()]))
+            for i in range(6007)]
+    want = sorted(rows, key=lambda r: (r[1], r[0].encode()))
+    assert _bins(spark, rows, "id string, v double", CUTS) == _wanted([r[0] for r in want], CUTS)
+
+
+@pytest.mark.parametrize("in_one_task", [0, 500, 1_000_000])
+def test_cuts_order_nulls_first_and_nan_last(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ranking, "ROWS_IN_ONE_TASK", in_one_task)
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, None, float("nan"), float("-inf"), 0.0, -0.0, rng.random()])) for i in range(900)]
+
+    def place(r):
+        return (0, 0, r[0]) if r[1] is None else (2, 0, r[0]) if r[1] != r[1] else (1, r[1], r[0])
+
+    want = [r[0] for r in sorted(rows, key=place)]
+    assert _bins(spark, rows, "id long, v double", CUTS) == _wanted(want, CUTS)
+
+
+def test_cuts_of_decimals_that_one_double_stands_for(spark):
+    rows = [(i, Decimal(10**20 + i * 7 % 50)) for i in range(300)]
+    want = [r[0] for r in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert _bins(spark, rows, "id long, v decimal(22,0)", CUTS, descending=True) == _wanted(want, CUTS)
+
+
+@pytest.mark.parametrize("in_one_task", [0, 1_000_000])
+def test_a_sketch_that_misses_changes_no_bin(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ranking, "ROWS_IN_ONE_TASK", in_one_task)
+    monkeypatch.setattr(ranking, "_brackets", lambda *a: [(3.0, 4.0), (90.0, 91.0)])
+    rows = [(i, i % 97) for i in range(500)]
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    assert _bins(spark, rows, "id long, v long", CUTS) == _wanted(want, CUTS)
+
+
+@pytest.mark.parametrize("in_one_task", [1, 1_000_000])
+def test_only_the_brackets_are_sorted(spark, monkeypatch, in_one_task):
+    sizes, numbered, totals = [], ranking._numbered, ranking.with_running_totals
+    monkeypatch.setattr(ranking, "_numbered", lambda df, *a: sizes.append(df.count()) or numbered(df, *a))
+    monkeypatch.setattr(ranking, "with_running_totals", lambda df, *a: sizes.append(df.count()) or totals(df, *a))
+    monkeypatch.setattr(ranking, "with_rank", None)
+    monkeypatch.setattr(ranking, "ROWS_IN_ONE_TASK", in_one_task)
+    df = spark.range(300_000).selectExpr("id", "hash(id) AS v")
+    got = ranking.with_rank_bin(df, F.col("v"), "id", [Fraction(i, 5) for i in range(1, 5)], "b")
+    assert [r["count"] for r in got.groupBy("b").count().orderBy("b").collect()] == [60_000] * 5
+    assert sizes and sum(sizes) < 3_000
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_no_rows_have_no_cuts(spark):
+    empty = spark.createDataFrame([], "id long, v double")
+    assert ranking.with_rank_bin(empty, F.col("v"), "id", CUTS, "b").collect() == []
+
+
 def test_seven_values_differ_from_equal_tiles(spark):
     df = ranking.quintile(spark.range(7), F.col("id"), "id", "q")
     assert [r["q"] for r in df.orderBy("id").collect()] == [1, 1, 2, 3, 4, 5, 5]
