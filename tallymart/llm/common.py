@@ -62,3 +62,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_row_keys(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with the three keys of `identity` under names that it does not have yet, and those names."""
+    who = [free_name(docs, name) for name in ("_no_id", "_of", "_hash")]
+    keys = (
+        F.col(doc_id).isNull(), F.coalesce(F.col(doc_id), F.lit(0)), F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+    )
+    return docs.withColumns(dict(zip(who, keys, strict=True))), who

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import alnum_words
+from tallymart.llm.common import alnum_words, with_row_keys
 
 WINDOW = 13
 # 20 * n_hit >= n_words: at least a twentieth of the words.
@@ -88,17 +88,17 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with all their columns. Options are those of the search."""
+    """The rows of `docs` that are not contaminated, with all their columns, whatever their names.
+
+    Options are those of the search.
+    """
+    keyed, who = with_row_keys(docs, doc_id, text)
     found = find_contamination(docs, items, doc_id, text, **options).where("contaminated")
     bad = found.select(
-        F.col(doc_id).isNull().alias("_no_id"), F.coalesce(F.col(doc_id), F.lit(0)).alias("_of"),
-        F.col("text_hash").alias("_hash"),
+        F.col(doc_id).isNull().alias(who[0]), F.coalesce(F.col(doc_id), F.lit(0)).alias(who[1]),
+        F.col("text_hash").alias(who[2]),
     ).distinct()
-    keyed = docs.withColumns({
-        "_no_id": F.col(doc_id).isNull(), "_of": F.coalesce(F.col(doc_id), F.lit(0)),
-        "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
-    return keyed.join(bad, ["_no_id", "_of", "_hash"], "left_anti").select(*docs.columns)
+    return keyed.join(bad, who, "left_anti").select(*docs.columns)
 
 
 def _probe(n) -> Column:

@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymart.llm.common import free_name
+
 # The base kinds in the order in which equal starts are listed, their patterns, and what must be long enough.
 BASE_KINDS = ("assign", "access", "hex")
 ASSIGN = (
@@ -92,12 +94,12 @@ class SecretRules:
         object.__setattr__(self, "kinds", (*BASE_KINDS, *(c.kind for c in self.classes)))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules | None = None) -> DataFrame:
-    """`docs` with a column `secrets`: spans (start, rank, end, kind) sorted by start and kind, in code points.
+def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules | None = None, out: str = "secrets") -> DataFrame:
+    """`docs` with a column `out`: spans (start, rank, end, kind) sorted by start and kind, in code points.
 
     Spans of the base kinds all stay. A span found by entropy is added unless the allow-list or a base span covers it.
     Null and empty texts have no spans. Every input row gives one output row, repeated or not, and keeps its columns;
-    a column `secrets` of the input is replaced.
+    only one that is named as `out` is replaced.
     """
     rules = rules or SecretRules()
     body = F.coalesce(F.col(text), F.lit(""))
@@ -120,10 +122,11 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: SecretRules | None
     shortest = min((c.window for c in rules.classes), default=0)
     any_class = "[A-Za-z0-9+/_-]{%d}" % shortest
     extra = when_seen(any_class, F.concat(*added)) if added else none
-    out = docs.withColumn("_base", base).withColumn("_extra", extra)
-    inside = lambda s: F.exists("_base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-    every = F.concat("_base", F.filter("_extra", lambda s: ~inside(s)))
-    return out.withColumn("secrets", F.array_sort(every)).drop("_base", "_extra")
+    sure, more = free_name(docs, "_base"), free_name(docs, "_extra")
+    found = docs.withColumn(sure, base).withColumn(more, extra)
+    inside = lambda s: F.exists(sure, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
+    every = F.concat(sure, F.filter(more, lambda s: ~inside(s)))
+    return found.withColumn(out, F.array_sort(every)).drop(sure, more)
 
 
 def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[SECRET]") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tallymart.llm.common import stage
+from tallymart.llm.common import stage, with_row_keys
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCK, SUB_BLOCK = 16, 12
@@ -264,15 +264,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component: that with the smallest id, then the smallest text hash; null ids come last."""
+    """One row of each component: that with the smallest id, then the smallest text hash; null ids come last.
+
+    The row keeps all its columns, whatever their names.
+    """
+    keyed, who = with_row_keys(docs, doc_id, text)
     found = near_duplicates(docs, doc_id, text)
-    rank = F.struct(F.col(doc_id).isNull().alias("_no_id"), F.col(doc_id).alias("_of"), F.col("text_hash").alias("_hash"))
+    rank = F.struct(*[
+        c.alias(name) for c, name in zip((F.col(doc_id).isNull(), F.col(doc_id), F.col("text_hash")), who, strict=True)
+    ])
     kept = found.groupBy("root").agg(F.min(rank).alias("r")).select("r.*")
-    kept = kept.withColumn("_of", F.coalesce("_of", F.lit(0)))
-    keyed = docs.withColumns({
-        "_no_id": F.col(doc_id).isNull(), "_of": F.coalesce(F.col(doc_id), F.lit(0)),
-        "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
+    kept = kept.withColumn(who[1], F.coalesce(who[1], F.lit(0)))
     # rows that repeat id and text: any one, they differ at most in columns beside
-    who = ["_no_id", "_of", "_hash"]
     return keyed.join(kept, who, "left_semi").dropDuplicates(who).select(*docs.columns)
