@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.llm import bpe, simhash
-from tallymart.llm.common import read_table, stage
+from tallymart.llm.common import free_name, read_table, stage
 from tallymart.llm.decontamination import drop_contaminated
 from tallymart.llm.quality import judge
 from tallymart.llm.queries import vocabulary_path
@@ -19,7 +19,8 @@ from tallymart.llm.secrets import find_secrets, redact
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the word rules and the compression bands."""
-    return judge(docs, out="_quality").where("_quality.kept").drop("_quality")
+    verdict = free_name(docs, "_quality")
+    return judge(docs, out=verdict).where(F.col(verdict)["kept"]).drop(verdict)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and `n_chars` counted anew where that changed the text."""
-    marked = redact(find_secrets(docs))
-    changed = F.when(F.size("secrets") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    spans = free_name(docs, "_secrets")
+    marked = redact(find_secrets(docs, out=spans), secrets=spans)
+    changed = F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return marked.withColumn("n_chars", changed).select(*docs.columns)
 
 
