@@ -120,7 +120,7 @@ def _nodes(lines: list[str]) -> list[Node]:
     return nodes
 
 
-def _walked(features: str, depth: int) -> str:
+def walked(features: str, depth: int) -> str:
     """SQL of the ensemble's value for an array of features; the trees are the column `_trees`."""
     here = "element_at(t.nodes, i)"
     goes_left = (
@@ -155,7 +155,7 @@ def predict(model: PipelineModel, hist: DataFrame, horizon: int, holidays: DataF
     forecast = F.expr(f"""
         aggregate(calendar, named_struct('tail', tail, 'yhats', CAST(array() AS ARRAY<DOUBLE>)), (s, day) -> element_at(
             transform(
-                transform(array(array({features})), x -> greatest(expm1({_walked("x", depth)}), 0D)),
+                transform(array(array({features})), x -> greatest(expm1({walked("x", depth)}), 0D)),
                 y -> named_struct('tail', concat(s.tail, array(log1p(y))), 'yhats', concat(s.yhats, array(y)))
             ), 1), s -> s.yhats)""")
     # the trees are a constant of the plan

@@ -101,6 +101,7 @@ class Clusters:
     profile: DataFrame
     model: PipelineModel
     scores: DataFrame | None
+    centers: np.ndarray  # in scaled space, one row per cluster
 
 
 def profile_of(assigned: DataFrame) -> DataFrame:
@@ -153,4 +154,4 @@ def cluster(features: DataFrame, config: Config, k: int | None = None) -> Cluste
     profile = named_profile(profile_of(labels))
     names = profile.select("cluster", "cluster_name")
     assigned = labels.select("customer_unique_id", "cluster").join(F.broadcast(names), "cluster")  # k rows
-    return Clusters(assigned.select("customer_unique_id", "cluster", "cluster_name"), profile, full, scores)
+    return Clusters(assigned.select("customer_unique_id", "cluster", "cluster_name"), profile, full, scores, centers)

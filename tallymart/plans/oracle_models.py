@@ -397,6 +397,12 @@ JOIN (SELECT series, sum(y) AS actual_total FROM recent WHERE back <= 8 GROUP BY
                                      *FC, BEST, INTERVALS, RECENT),
     "churn_labels": star(f"""
 SELECT {day('snapshot')}, customer_unique_id, recency_days, frequency, repeat FROM labels_at""", *LABEL_CTES),
+    "churn_by_tables": star("""
+SELECT model, customer_unique_id, repeat, TRUE AS as_fitted, TRUE AS is_probability
+FROM labels_at, (VALUES ('gbt'), ('logistic')) m(model) WHERE snapshot = (SELECT max(snapshot) FROM labels_at)""",
+                            *LABEL_CTES),
+    "clusters_by_table": star("""
+SELECT customer_unique_id, TRUE AS as_fitted, TRUE AS is_cluster FROM features""", NOW_FEATURES),
     "churn_metrics_eval": star("""
 SELECT round(((SELECT sum(ar) FROM avg_ranks WHERE y = 1) - pos * (pos + 1) / 2) / (pos * (n - pos)), 6) AS roc_auc,
        round((SELECT sum(kpos * tp / r) FROM thresholds) / pos, 6) AS pr_auc, round(pos / n, 6) AS base_rate,

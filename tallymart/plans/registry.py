@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, IntegerType, ShortType, TimestampNTZType
@@ -21,6 +22,7 @@ from tallymart.operators import (
     features,
     forecasting,
     insights,
+    model_tables,
     propensity,
     rfm,
     serving,
@@ -374,6 +376,46 @@ def _customer_queries() -> dict[str, Query]:
         w, done = trained(spark, d)
         return show(propensity.score_customers(done.model, w.fact_orders, w.fact_order_items, CONFIG), 6)
 
+    def churn_by_tables(spark, d):
+        """Both classifiers scored from their tables at the test cutoff, against the fitted pipelines."""
+        done = trained(spark, d)[1]
+        names = propensity.feature_names(CONFIG)
+        inputs = F.array(*[F.col(f"x_{n}") for n in names])
+        out = None
+        for name, model in done.models.items():
+            last = model.stages[-1]
+            rows = model.transform(done.test).select(
+                "customer_unique_id", "repeat", vector_to_array("probability")[1].alias("fitted"), *[f"x_{n}" for n in names]
+            )
+            if name == propensity.LOGISTIC:
+                scored = model_tables.linear_probability(rows, model_tables.linear_table(spark, model, names), inputs)
+            else:
+                table = model_tables.tree_table(spark, model)
+                scored = model_tables.tree_probability(rows, table, inputs, last.getMaxDepth())
+            one = scored.select(
+                F.lit(name).alias("model"), "customer_unique_id", "repeat",
+                (F.abs(F.col("p_repeat") - F.col("fitted")) <= 1e-9).alias("as_fitted"),
+                F.col("p_repeat").between(0, 1).alias("is_probability"),
+            )
+            out = one if out is None else out.unionByName(one)
+        return show(out)
+
+    def clusters_by_table(spark, d):
+        """Nearest centre of every customer from the table of centres, against the fitted pipeline."""
+        feats = stage_table(features_now(spark, d), "features")
+        done = clusters.cluster(feats, CONFIG, CONFIG.ks[0])
+        prepared = done.model.transform(feats)
+        scale = done.model.stages[-2]
+        table = model_tables.center_table(
+            spark, done.centers, scale.mean.toArray(), scale.std.toArray(), clusters.FEATURES)
+        inputs = F.array(*[F.col(f"z_{c}") for c in clusters.FEATURES])
+        rows = prepared.select("customer_unique_id", F.col("cluster").alias("fitted"), *[f"z_{c}" for c in clusters.FEATURES])
+        scored = model_tables.nearest_center(rows, table, inputs)
+        return show(scored.select(
+            "customer_unique_id", (F.col("cluster") == F.col("fitted")).alias("as_fitted"),
+            F.col("cluster").between(0, CONFIG.ks[0] - 1).alias("is_cluster"),
+        ))
+
     def hypotheticals(spark, d):
         feats = features_now(spark, d)
         return feats.where(F.col("monetary") > 0).select("customer_unique_id", "recency_days", "frequency", "monetary")
@@ -480,6 +522,8 @@ def _customer_queries() -> dict[str, Query]:
         "churn_train": churn_train,
         "churn_importance": churn_importance,
         "churn_scores": churn_scores,
+        "churn_by_tables": churn_by_tables,
+        "clusters_by_table": clusters_by_table,
         "risk_bands": risk_bands,
         "score_percentile": lambda spark, d: show(
             propensity.score_percentile(_fixed_score(features_now(spark, d)), 0.01)
