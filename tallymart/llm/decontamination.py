@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import alnum_words, with_row_keys
+from tallymart.llm.common import alnum_words, stage, with_row_keys
 
 WINDOW = 13
 # 20 * n_hit >= n_words: at least a twentieth of the words.
 MIN_SHARE = 20
-# Windows of 13 words take about 200 bytes, so a broadcast stays below some 200 MB. More windows are joined by a shuffle.
-MAX_BROADCAST_WINDOWS = 1_000_000
+# Bytes of windows and lists of items that are broadcast; more of them are joined by a shuffle.
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -36,22 +36,21 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
 
 def find_contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", n: int = WINDOW, min_share: int = MIN_SHARE,
+    item_text: str = "text", n: int = WINDOW, min_share: int = MIN_SHARE, max_broadcast: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per row of `docs`: id, `text_hash`, `n_words`, `n_hit`, `items` (sorted), `spans`, `contaminated`.
 
     `spans` are the maximal runs of hit words as (start, end), 0-based word positions, end exclusive.
     Null or empty texts have no words and are clean. Repeated rows each keep their own result row; rows of one id with
     different texts are told apart by the text's hash. Null ids are kept. An empty item table leaves all clean.
-    Other columns of either table are ignored.
+    Other columns of either table are ignored. Above `max_broadcast` bytes the test items are joined by shuffles of
+    hashes, and the verified hits are written to the shared scratch folder when this is called.
     """
     windows = item_windows(items, item_id, item_text, n).withColumnsRenamed(
         {"window": "_window", "items": "_items", "len": "_len", "key": "_key"}
     )
-    size = windows.groupBy("_len").count().collect()  # at most n rows
+    size = windows.groupBy("_len").agg(F.sum(_row_bytes()).alias("bytes")).collect()  # at most n rows
     lengths = sorted(r["_len"] for r in size)
-    if sum(r["count"] for r in size) <= MAX_BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
 
     body = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(
@@ -70,16 +69,23 @@ def find_contamination(
     hit = F.col("_window").isNotNull() & (
         F.slice("_words", F.col("_at") + 1, F.greatest(F.col("_len"), F.lit(1))) == F.col("_window")
     )
-    found = probes.join(windows, F.col("_probe") == F.col("_key"), "left").where(hit | F.col("_closing"))
+    if sum(r["bytes"] for r in size) <= max_broadcast:
+        met = probes.join(F.broadcast(windows), F.col("_probe") == F.col("_key"), "left")
+        found = met.where(hit | F.col("_closing")).select(
+            "_id", "_text", "_closing", "_at", (F.col("_at") + F.col("_len")).alias("_end"), "_items"
+        )
+    else:
+        found = _found_by_shuffle(words, probes, windows, hit)
+    inside = ~F.col("_closing") & F.col("_at").isNotNull()
     per_doc = found.groupBy("_id", "_text").agg(
         F.max(F.when(F.col("_closing"), F.col("_at"))).alias("_n_words"),
         F.count_if("_closing").alias("_copies"),
-        F.collect_set(F.when(~F.col("_closing"), F.struct("_at", (F.col("_at") + F.col("_len")).alias("_end")))).alias("_hits"),
+        F.collect_set(F.when(inside, F.struct("_at", "_end"))).alias("_hits"),
         F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("_closing"), F.col("_items"))))).alias("_items"),
     )
     out = per_doc.select(
         F.col("_id").alias(doc_id), F.col("_text").alias("text_hash"), F.col("_n_words").cast("long").alias("n_words"),
-        F.array_sort("_items").alias("items"), _merged(F.array_sort("_hits")).alias("spans"), "_copies",
+        F.array_sort("_items").alias("items"), _merged("_hits").alias("spans"), "_copies",
     ).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * min_share >= F.col("n_words")))
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(
@@ -107,17 +113,53 @@ def _probe(n) -> Column:
     return F.when(fits, F.xxhash64(F.slice("_words", F.col("_at") + 1, n)))
 
 
-def _merged(hits: Column) -> Column:
-    """Sorted (start, end) pairs as maximal disjoint runs."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+def _row_bytes() -> Column:
+    """About what a window takes in a broadcast: its words and items, and 16 bytes for each of them."""
+    words = F.octet_length(F.concat_ws(" ", "_window")) + 16 * F.size("_window")
+    items = F.octet_length(F.concat_ws(" ", F.col("_items").cast("array<string>"))) + 16 * F.size("_items")
+    return (words + items + 64).cast("long")
 
-    def step(runs, hit):
-        last = F.try_element_at(runs, F.lit(-1))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], hit["_end"]).alias("end"))
-        fresh = F.struct(hit["_at"].alias("start"), hit["_end"].alias("end"))
-        touches = (F.size(runs) > 0) & (last["end"] >= hit["_at"])
-        return F.when(
-            touches, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(joined))
-        ).otherwise(F.concat(runs, F.array(fresh)))
 
-    return F.aggregate(hits, empty, step)
+def _found_by_shuffle(words: DataFrame, probes: DataFrame, windows: DataFrame, hit: Column) -> DataFrame:
+    """The rows that the broadcast join finds, from plain joins whose hot keys adaptive execution splits.
+
+    Word positions travel as (id, text hash, position, hash); only documents with a known hash meet their words and
+    the windows again, once each. A row without a position carries one item of its document.
+    """
+    closing = probes.where("_closing").select("_id", "_text", "_closing", "_at")
+    slim = probes.where(~F.col("_closing") & F.col("_probe").isNotNull()).select("_id", "_text", "_at", "_probe")
+    met = slim.join(windows.select("_key", "_len", "_window"), F.col("_probe") == F.col("_key")).drop("_probe").distinct()
+    # one row per document: copies have the same words
+    told = words.groupBy("_id", "_text").agg(F.first("_words").alias("_words")).alias("w")
+    same = F.col("m._id").eqNullSafe(F.col("w._id")) & (F.col("m._text") == F.col("w._text"))
+    verified = stage(
+        met.alias("m").join(told, same).where(hit).select(
+            "m._id", "m._text", "_at", (F.col("_at") + F.col("_len")).alias("_end"), "_window"
+        ), "window_hits",
+    )
+    listed = windows.select("_window", F.explode("_items").alias("_item"))
+    items = verified.select("_id", "_text", "_window").distinct().join(listed, "_window").select(
+        "_id", "_text", F.array("_item").alias("_items")
+    ).distinct()
+    inner = [f.withColumn("_closing", F.lit(False)) for f in (verified.drop("_window"), items)]
+    return closing.unionByName(inner[0], allowMissingColumns=True).unionByName(inner[1], allowMissingColumns=True)
+
+
+def _merged(hits: str) -> Column:
+    """(start, end) pairs as maximal disjoint runs, in time that grows with the number of pairs.
+
+    With starts and ends each in order, a run ends at an end that the next start lies beyond.
+    """
+    starts = F.array_sort(F.transform(hits, lambda h: h["_at"]))
+    ends = F.array_sort(F.transform(hits, lambda h: h["_end"]))
+    others = F.greatest(F.size(hits) - 1, F.lit(0))
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(ends, 1, others))
+    opens = F.filter(
+        F.zip_with(starts, before, lambda s, e: F.struct(s.alias("at"), e.alias("other"))),
+        lambda x: x["at"].isNotNull() & (x["other"].isNull() | (x["at"] > x["other"])),
+    )
+    closes = F.filter(
+        F.zip_with(ends, F.slice(starts, 2, others), lambda e, s: F.struct(e.alias("at"), s.alias("other"))),
+        lambda x: x["other"].isNull() | (x["other"] > x["at"]),
+    )
+    return F.zip_with(opens, closes, lambda a, b: F.struct(a["at"].alias("start"), b["at"].alias("end")))

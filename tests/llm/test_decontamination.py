@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from tallymart.llm.decontamination import drop_contaminated, find_contamination
+from tallymart.llm.decontamination import MAX_BROADCAST_BYTES, drop_contaminated, find_contamination
 
 SCHEMA = "doc_id long, text string, items int, contaminated string"
 
@@ -51,17 +51,18 @@ def case(rng, short):
     return rows + rows[:3] + rows[25:28], items
 
 
+@pytest.mark.parametrize("max_broadcast", [MAX_BROADCAST_BYTES, 0])  # 0: everything is joined by shuffles
 @pytest.mark.parametrize("short", [False, True])
-def test_equals_plain_search(spark, short):
+def test_equals_plain_search(spark, short, max_broadcast):
     rows, items = case(random.Random(5 + short), short)
     docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
-    got = find_contamination(docs, bench).collect()
+    got = find_contamination(docs, bench, max_broadcast=max_broadcast).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     have = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]], r["contaminated"]) for r in got]
     want = [(r[0], *plain(r[1], items, 13)) for r in rows]
     assert sorted(have, key=key) == sorted(want, key=key)
     assert {w[-1] for w in want} == {True, False}
-    kept = drop_contaminated(docs, bench)
+    kept = drop_contaminated(docs, bench, max_broadcast=max_broadcast)
     assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
 
 
@@ -71,3 +72,4 @@ def test_empty_tables(spark):
     assert find_contamination(docs.limit(0), bench).count() == 0
     clean = find_contamination(docs, bench.limit(0)).collect()
     assert len(clean) == len(rows) and not any(r["contaminated"] or r["n_hit"] for r in clean)
+
