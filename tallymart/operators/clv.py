@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymart.config import Config
 from tallymart.functions.scalar import midnight
+from tallymart.operators.months import bought_between
 from tallymart.operators.ranking import with_rank_bin
 
 # Tiers from the lowest value, and the rank shares that separate them.
@@ -22,7 +23,8 @@ def orders_per_repeater(facts: DataFrame, cutoff: Column, config: Config) -> Dat
     Both conditions are counted in one aggregation per customer instead of a semi-join.
     """
     bought = F.col("order_purchase_timestamp")
-    known = facts.where(F.col("customer_unique_id").isNotNull()).withColumn("_cut", cutoff)
+    known = facts.where(F.col("customer_unique_id").isNotNull())
+    known = bought_between(known, None, F.date_add(cutoff, config.window_days)).withColumn("_cut", cutoff)
     cut = F.col("_cut")
     inside = (bought >= midnight(cut)) & (bought < midnight(F.date_add(cut, config.window_days)))
     per = known.groupBy("customer_unique_id").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymart.config import Config
 from tallymart.functions.scalar import calendar_days, column_name, flag, log1p_clipped, midnight
+from tallymart.operators.months import bought_between
 from tallymart.operators.ranking import medians
 from tallymart.session import stage_table
 
@@ -30,8 +31,8 @@ def _with_interval(facts: DataFrame, snapshots: Column) -> DataFrame:
     """
     bought = F.col("order_purchase_timestamp")
     passed = F.size(F.filter(F.col("_days"), lambda s: midnight(s) <= bought))
-    dated = facts.where(bought.isNotNull()).withColumn("_days", _ascending(snapshots)).withColumn("_interval", passed)
-    return dated.where(F.col("_interval") < F.size("_days")).drop("_days")
+    dated = bought_between(facts, None, F.array_max(snapshots))
+    return dated.withColumn("_days", _ascending(snapshots)).withColumn("_interval", passed).drop("_days")
 
 
 def _per_snapshot(aggregated: DataFrame, snapshots: Column) -> DataFrame:
@@ -41,50 +42,70 @@ def _per_snapshot(aggregated: DataFrame, snapshots: Column) -> DataFrame:
     return aggregated.withColumn("snapshot", later).drop("_interval")
 
 
-def customer_features(facts: DataFrame, config: Config, snapshots: Column | None = None) -> DataFrame:
-    """One row per (snapshot, customer) from the orders before the snapshot.
+SUMS = (*dict.fromkeys(MEANS.values()), "n_categories")
 
-    `snapshots` is an array of days (a literal or a scalar subquery); the default is the day after the last
-    order. Orders are aggregated per interval between snapshots, and those aggregates are merged for each snapshot.
-    The result is written once, since the medians that fill the gaps read it again. Only the state and the average
-    order value can be missing.
+
+def order_partials(facts: DataFrame, keys: list[str], config: Config) -> DataFrame:
+    """One row per group of orders from which the features of any union of groups can be made (see `merge_partials`).
+
+    Orders without a customer are a group of their own.
     """
-    key = "customer_unique_id"
+    bought = F.col("order_purchase_timestamp")
     df = facts.withColumns({
         "_late": flag(F.col("is_late")), "_card": flag(F.col("payment_type") == config.card_type),
         "_known_at": F.when(F.col("customer_state").isNotNull(), F.struct("order_purchase_timestamp", "order_id")),
     })
-    if snapshots is None:
-        keys = [key]  # orders without a customer count for the last day, as a group that is dropped below
-    else:
-        df, keys = _with_interval(df.where(F.col(key).isNotNull()), snapshots), ["_interval", key]
-    bought = F.col("order_purchase_timestamp")
-    sums = {*MEANS.values(), "n_categories"}
-    part = df.groupBy(*keys).agg(
+    return df.groupBy(*keys).agg(
         F.min(bought).alias("first_order"), F.max(bought).alias("last_order"),
         F.count("order_id").alias("frequency"),  # order_id is unique in the facts
         F.max_by("customer_state", "_known_at").alias("customer_state"), F.max("_known_at").alias("_known_at"),
-        *[F.sum(c).alias(f"_sum_{c}") for c in sums], *[F.count(c).alias(f"_n_{c}") for c in sums],
+        *[F.sum(c).alias(f"_sum_{c}") for c in SUMS], *[F.count(c).alias(f"_n_{c}") for c in SUMS],
+    )
+
+
+def merge_partials(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The partials of larger groups from those of smaller ones."""
+    return parts.groupBy(*keys).agg(
+        F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
+        F.sum("frequency").alias("frequency"), F.max_by("customer_state", "_known_at").alias("customer_state"),
+        F.max("_known_at").alias("_known_at"),
+        *[F.sum(f"_{kind}_{c}").alias(f"_{kind}_{c}") for c in SUMS for kind in ("sum", "n")],
     )
-    if snapshots is not None:
-        keys = ["snapshot", key]
-        part = _per_snapshot(part, snapshots).groupBy(*keys).agg(
-            F.min("first_order").alias("first_order"), F.max("last_order").alias("last_order"),
-            F.sum("frequency").alias("frequency"), F.max_by("customer_state", "_known_at").alias("customer_state"),
-            *[F.sum(f"_{kind}_{c}").alias(f"_{kind}_{c}") for c in sums for kind in ("sum", "n")],
-        )
-    grouped = part.select(
+
+
+def customer_features(facts: DataFrame, config: Config, snapshots: Column | None = None) -> DataFrame:
+    """One row per (snapshot, customer) from the orders before the snapshot.
+
+    `snapshots` is an array of days (a literal or a scalar subquery); the default is the day after the last
+    order. Orders are aggregated per interval between snapshots, and those aggregates are merged for each snapshot.
+    The result is written once, since the medians that fill the gaps read it again. Only the state and the average
+    order value can be missing.
+    """
+    key = "customer_unique_id"
+    if snapshots is None:
+        # orders without a customer count for the last day, as a group that is dropped below
+        raw = stage_table(raw_features(order_partials(facts, [key], config), [key]), "customer_features")
+        # the default lies after every order, so it excludes none and can be read off the aggregate
+        named = raw.withColumn("snapshot", raw.agg(F.date_add(F.max(F.col("last_order").cast("date")), 1)).scalar())
+        return filled_features(named.where(F.col(key).isNotNull()).select("snapshot", *raw.columns))
+    dated = _with_interval(facts.where(F.col(key).isNotNull()), snapshots)
+    parts = _per_snapshot(order_partials(dated, ["_interval", key], config), snapshots)
+    keys = ["snapshot", key]
+    return filled_features(stage_table(raw_features(merge_partials(parts, keys), keys), "customer_features"))
+
+
+def raw_features(merged: DataFrame, keys: list[str]) -> DataFrame:
+    """What follows from the orders of a group alone."""
+    return merged.select(
         *keys, "first_order", "last_order", "frequency",
         F.coalesce("_sum_payment_value", F.lit(0)).cast("double").alias("monetary"),
         *[F.try_divide(F.col(f"_sum_{c}").cast("double"), F.col(f"_n_{c}")).alias(n) for n, c in MEANS.items()],
         F.coalesce("_sum_n_categories", F.lit(0)).alias("n_categories"), "customer_state",
     )
-    raw = stage_table(grouped, "customer_features")
-    if snapshots is None:
-        # the default lies after every order, so it excludes none and can be read off the aggregate
-        raw = raw.withColumn("snapshot", raw.agg(F.date_add(F.max(F.col("last_order").cast("date")), 1)).scalar())
-        raw = raw.where(F.col(key).isNotNull()).select("snapshot", *grouped.columns)
 
+
+def filled_features(raw: DataFrame) -> DataFrame:
+    """Raw features with gaps filled and days since the orders. `raw` is a stored table: it is read twice."""
     mids = medians(raw, "snapshot", ["avg_review", "avg_delivery_days"]).select(
         "snapshot", F.col("avg_review").alias("_review"), F.col("avg_delivery_days").alias("_days")
     )

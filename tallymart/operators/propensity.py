@@ -24,6 +24,7 @@ from tallymart.operators.features import (
     with_categories,
     with_state_flags,
 )
+from tallymart.operators.months import bought_between
 from tallymart.operators.ranking import quintile, rows_at, with_running_totals
 from tallymart.session import in_parallel, stage_table
 
@@ -72,8 +73,7 @@ def labelled(facts: DataFrame, items: DataFrame | None, cutoffs: Column, config:
     # only the orders that some label window can hold
     first, end = F.array_min(cutoffs), F.date_add(F.array_max(cutoffs), config.window_days)
     future = (
-        facts.where(F.col("customer_unique_id").isNotNull())
-        .where((bought >= midnight(first)) & (bought < midnight(end)))
+        bought_between(facts.where(F.col("customer_unique_id").isNotNull()), first, end)
         .withColumn("_cuts", cutoffs)
         .select("customer_unique_id", F.explode(opened).alias("snapshot"))
         .distinct()

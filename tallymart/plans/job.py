@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.config import Config
-from tallymart.functions.scalar import month_start
-from tallymart.operators import affinity, insights
+from tallymart.operators import affinity, customer_state, insights, months
 from tallymart.operators.warehouse import Warehouse
 from tallymart.plans import customers, forecasts
 from tallymart.session import staging_scope
@@ -30,8 +30,8 @@ class StoredWarehouse(Warehouse):
     def __getattribute__(self, name):
         if name in Warehouse.NAMES:
             if name not in self._opened:  # files are listed and their schema is read once
-                df = read_table(self._spark, self._folder, name)
-                self._opened[name] = df.drop("order_month") if name in FACTS else df
+                # facts by month keep that column: bounds on the purchase time then reach the folders
+                self._opened[name] = read_table(self._spark, self._folder, name)
             return self._opened[name]
         return super().__getattribute__(name)
 
@@ -41,20 +41,23 @@ def write_warehouse(warehouse: Warehouse, folder: str, by_month: bool = False) -
     spark = warehouse.fact_orders.sparkSession
 
     def facts(df: DataFrame) -> DataFrame:
-        if not by_month:
-            return df
-        # rebalancing splits a month with many rows and merges small ones, so files keep an even size
-        return df.withColumn("order_month", month_start("order_date")).hint("rebalance", "order_month")
+        return months.with_month(df) if by_month else df
 
-    parts = {n: "order_month" for n in FACTS} if by_month else None
+    parts = {n: months.MONTH for n in FACTS} if by_month else None
     write_tables({"fact_orders": facts(warehouse.fact_orders)}, folder, parts)
     # the other tables start from the written orders instead of joining them again
-    stored = read_table(spark, folder, "fact_orders").drop("order_month")
+    stored = read_table(spark, folder, "fact_orders").drop(months.MONTH)
     rest = warehouse.with_fact_orders(stored)
     write_tables({"fact_order_items": facts(rest.fact_order_items)}, folder, parts)
     write_tables({n: getattr(rest, n) for n in Warehouse.NAMES if n not in FACTS}, folder)
 
 
+def features_at(spark: SparkSession, folder: str, days: Sequence[date], config: Config) -> DataFrame:
+    """Customer features of any days from a job run with `by_month`: stored months, and the begun month's orders."""
+    facts = read_table(spark, folder, "fact_orders")
+    return customer_state.features(facts, f"{folder}/customer_state", days, config)
+
+
 def insight_tables(warehouse: Warehouse, config: Config) -> dict[str, DataFrame]:
     facts, items = warehouse.fact_orders, warehouse.fact_order_items
     return {
@@ -82,6 +85,9 @@ def run(
         raise ValueError(f"unknown stages {sorted(unknown)}; options: {', '.join(STAGES)}")
     if "warehouse" in stages:
         write_warehouse(Warehouse(sources, config, holidays), folder, by_month)
+        if by_month:
+            # all months are made again, as the facts were; later loads update only the months that they touch
+            customer_state.update(read_table(spark, folder, "fact_orders"), f"{folder}/customer_state", config, every=True)
     with staging_scope(spark):
         _run_on(StoredWarehouse(spark, folder), spark, folder, config, stages, holidays, k)
 

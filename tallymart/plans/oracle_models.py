@@ -317,6 +317,7 @@ MODELS: dict[str, str] = {
     "customer_features_asof": star(f"""
 SELECT {FEATURE_COLUMNS}, is_sp, is_rj_mg, {CATEGORY_FLAGS}, round(ln(1 + greatest(monetary, 0)), 6) AS log_monetary
 FROM encoded""", features(CUTOFFS), MAIN_CATEGORY, ENCODED),
+    "customer_features_by_state": star(f"SELECT {FEATURE_COLUMNS} FROM features", features(CUTOFFS)),
     "main_category": star(f"SELECT {day('snapshot')}, customer_unique_id, main_category FROM main_category",
                           features(CUTOFFS), MAIN_CATEGORY),
     "rfm_scores": star("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -17,12 +18,14 @@ from tallymart.operators import (
     cleaning,
     clusters,
     clv,
+    customer_state,
     demand,
     evaluation,
     features,
     forecasting,
     insights,
     model_tables,
+    months,
     propensity,
     rfm,
     serving,
@@ -30,7 +33,7 @@ from tallymart.operators import (
 )
 from tallymart.operators.warehouse import Warehouse
 from tallymart.plans import customers
-from tallymart.session import stage_table
+from tallymart.session import stage_table, staging_root
 from tallymart.sources import driver_tables, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -345,6 +348,18 @@ def _customer_queries() -> dict[str, Query]:
         df = features.log_columns(df.withColumn("log_monetary", F.col("monetary")), ["log_monetary"])
         return show(df, 6, ("log_monetary",))
 
+    def customer_features_by_state(spark, d):
+        """The same days from months: the state is made up to the first day's month, then brought up to date."""
+        root = f"{staging_root(spark)}/by-month-{uuid.uuid4().hex}"
+        tables.write_tables(
+            {"fact_orders": months.with_month(star(spark, d).fact_orders)}, root, {"fact_orders": months.MONTH})
+        facts, state = tables.read_table(spark, root, "fact_orders"), f"{root}/customer_state"
+        back = [CONFIG.window_days + CONFIG.step_days * i for i in range(CONFIG.train_cutoffs)]
+        days = [TEST_CUTOFF, *[TEST_CUTOFF - timedelta(days=n) for n in back]]
+        customer_state.update(months.bought_between(facts, None, F.lit(min(days))), state, CONFIG)
+        customer_state.update(facts, state, CONFIG)
+        return show(customer_state.features(facts, state, days, CONFIG))
+
     def main_category(spark, d):
         return show(features.main_category(star(spark, d).fact_order_items, cutoff_days()))
 
@@ -510,6 +525,7 @@ def _customer_queries() -> dict[str, Query]:
     return {
         "customer_features": lambda spark, d: show(features_now(spark, d)),
         "customer_features_asof": customer_features_asof,
+        "customer_features_by_state": customer_features_by_state,
         "main_category": main_category,
         "rfm_scores": lambda spark, d: show(rfm.rfm(features_now(spark, d))),
         "segment_summary": lambda spark, d: show(_rounded(

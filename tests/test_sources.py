@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import datetime
+from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallymart.operators import features
 from tallymart.plans import job
 from tallymart.sources import csv_files, driver_tables, tables
 
@@ -88,6 +90,10 @@ def test_whole_job(spark, sf_dir, tmp_path):
     assert {r[0] for r in people.select("clv_tier").distinct().collect()} == {"low", "mid", "high", "top 5%"}
     orders = tables.read_table(spark, out, "fact_orders")
     assert dim.selectExpr("sum(n_orders)").first()[0] == orders.where("customer_unique_id IS NOT NULL").count()
+    days = [date(1997, 3, 1), date(1997, 9, 17)]
+    state = job.features_at(spark, out, days, config)
+    plain = features.customer_features(orders, config, F.array(*[F.lit(d) for d in days]))
+    assert state.count() > 0 and state.exceptAll(plain.select(*state.columns)).isEmpty() and state.count() == plain.count()
     demand = tables.read_table(spark, out, "demand_weekly")
     assert demand.groupBy("series").count().select("count").distinct().count() == 1
     for name in ("model_boosted_global", "model_kmeans_customers", "model_churn"):
