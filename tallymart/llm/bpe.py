@@ -1,10 +1,10 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-Normalised texts are cut where a rolling hash of the last characters meets a condition, so equal passages are cut alike
-in every document. A worker encodes each chunk it meets once and keeps it. Neighbouring chunks are then joined: the
-text from the last token of the left chunk that could still change is encoded again together with the beginning of the
-right chunk, until a token starts exactly where the right chunk's own encoding has one. From there on both agree,
-because a token's extent depends only on where it starts and on what follows.
+Texts are cut where a rolling hash of the last bytes meets a condition, so equal passages are cut alike in every
+document. A worker encodes each chunk that it meets once and keeps the ids from the first place in it where a token
+starts whatever stands before to the last place where one starts whatever follows; both are starts of units (see
+`units`). Neighbouring chunks are then joined: the text from the last such place of the left chunk to the first of the
+right one is encoded by itself, as are the ends of a text and chunks without such places.
 
 Reuse is within a worker. Sharing chunks between workers needs an exchange of chunk texts and ids that is larger than
 the texts themselves (figures in the README).
@@ -12,22 +12,26 @@ the texts themselves (figures in the README).
 
 from __future__ import annotations
 
-import os
-import re
-import unicodedata
-from itertools import islice
-from typing import NamedTuple
+from collections import Counter
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Mean characters of a chunk (a power of two), the least, and the rolling hash's window.
+from tallymart.llm.units import Rows, TokenStore, UnitStore, ragged, text_slices
+
+#: Mean bytes of a chunk (a power of two), the least, and the rolling hash's window.
 MEAN_CHUNK, LEAST_CHUNK, ROLL = 512, 64, 16
-#: Bounds of what a worker keeps: pre-tokens, chunks, and the longest chunk that is kept.
-MAX_WORDS, MAX_CHUNKS, LONGEST_KEPT = 250_000, 8_000, 8_192
-#: Characters whose normal form, case and class all Unicode versions agree on. Other texts go whole to the library.
+#: A generation of a worker's stores ends at so many units or chunks; a chunk of more bytes is cut.
+MAX_WORDS, MAX_CHUNKS, LONGEST_KEPT = 250_000, 4_000, 8_192
+#: Texts are worked on in slices of about so many bytes, ids in slices of so many.
+SLICE_BYTES, SLICE_IDS = 4 << 20, 1 << 20
+
+#: Characters whose normal form, case and class all Unicode versions agree on; the tests go through them one by one.
 SAFE_END, ALSO_SAFE = 0x250, "‐‑‒–—―‘’‚‛“”„†‡•…"
 UNSURE = "İŉ"
 
@@ -39,166 +43,147 @@ def _safe_alphabet() -> str:
 
 
 SAFE = _safe_alphabet()
-UNSAFE = re.compile("[^" + re.escape(SAFE) + "]")
-
-
-def _class(kind: str) -> str:
-    return re.escape("".join(c for c in SAFE if unicodedata.category(c)[0] == kind))
-
-
-# Fixed value: the vocabulary's split rule, written for the safe characters.
-PRETOKEN = re.compile(
-    f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^ \t\n\r{_class('L')}{_class('N')}]+"
-)
-#: A token that starts this near to the end may still change: a contraction looks two characters ahead.
-LOOKAHEAD = 2
-
-
-class Chunk(NamedTuple):
-    ids: bytes  # of the tokens that no following text can change, 4 bytes each
-    final: int  # where they end and the rest starts
-    starts: dict[int, int]  # of the first tokens: character -> place in ids
-
-
-def _byte_letters() -> dict[str, str]:
-    """The letter that stands for each byte in the vocabulary: printable ones for themselves, the others in order."""
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return {chr(b): chr(b if b in printable else next(others)) for b in range(0x100)}
 
 
-BYTE_LETTERS = str.maketrans(_byte_letters())
+class ChunkStore(UnitStore):
+    """Of each chunk the ids of its units but the first and last one, and how many bytes before and up to their end."""
 
-
-class _Words(dict):
-    """Pre-token -> its ids as bytes, merged by the library's model when first met.
-
-    Two generations: when the younger is full it becomes the older, from which words in use come back.
-    """
-
-    def __init__(self, model):
+    def __init__(self, units: TokenStore):
+        self.units, self.learned = units, 0
         super().__init__()
-        self.model, self.older = model, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-        if len(self) >= MAX_WORDS // 2:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def clear(self) -> None:
+        self.rows, self.inner = Rows(), np.zeros((0, 2), np.int64)
+
+    def aged(self) -> UnitStore:
+        old = UnitStore()
+        old.slots, old.rows, old.inner = self.slots, self.rows, self.inner
+        return old
+
+    def carry(self, slots: np.ndarray) -> None:
+        self.rows.add(self.older.rows.size[slots], self.older.rows.of(slots))
+        self.inner = np.concatenate([self.inner, self.older.inner[slots]])
+
+    def learn(self, units: list[str]) -> None:
+        self.learned += len(units)
+        chunks = [u.encode() for u in units]
+        data = np.frombuffer(b"".join(chunks), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c in chunks])])
+        starts = self.units.cut(data, bounds)
+        first = np.searchsorted(starts, bounds)
+        # the begin of a chunk may be no start in its text, and its last unit may go on behind it
+        many = np.maximum(np.diff(first) - 2, 0)
+        some = many > 0
+        left, right = starts[first[:-1][some] + 1], starts[first[1:][some] - 1]
+        shift = left - np.concatenate([[0], np.cumsum(right - left)])[:-1]
+        inner = starts[ragged(first[:-1] + 1, many)] - np.repeat(shift, many[some])
+        slots = self.units.find(runs_of(data, left, right), inner)
+        ends = np.concatenate([[0], np.cumsum(self.units.rows.size[slots])])[np.concatenate([[0], np.cumsum(many)])]
+        self.rows.add(np.diff(ends), self.units.rows.of(slots))
+        places = np.zeros((len(chunks), 2), np.int64)
+        places[some] = np.stack([left, right], 1) - bounds[:-1][some, None]
+        self.inner = np.concatenate([self.inner, places])
 
 
 class Encoder:
     """Encodes as the library does, without special tokens added, truncation or padding."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = _Words(self.tokenizer.model)
-        self.chunks: dict[str, Chunk] = {}
-        self.counts = {"chunks": 0, "reused": 0, "whole": 0}
+        self.units = TokenStore(path)
+        self.units.max_units = MAX_WORDS
+        self.chunks = ChunkStore(self.units)
+        self.chunks.max_units = MAX_CHUNKS
+        self.tokenizer, self.vocabulary = self.units.merges.tokenizer, self.units.vocabulary
+        self.counts = Counter()
+
+    @cached_property
+    def strings(self) -> pa.Array:
+        """The string of each id."""
+        return pa.array([self.tokenizer.id_to_token(i) or "" for i in range(self.vocabulary)], pa.string())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        plain, out = [], [b""] * len(texts)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if UNSAFE.search(text) or any(s in text for s in self.special):
-                self.counts["whole"] += 1
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain.append((i, text.lower()))
-        for (i, text), cuts in zip(plain, cut_points([t for _, t in plain]), strict=True):
-            out[i] = self._joined(text, cuts)
-        return out
+        return [
+            ids[a:b].astype("<i4").tobytes() for ids, ends in self.slices(pa.array(texts, pa.large_string()))
+            for a, b in zip(ends[:-1], ends[1:], strict=True)
+        ]
+
+    def slices(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, bounds of texts in them) of consecutive runs of the column's texts; null texts are empty."""
+        for data, bounds in text_slices(column, SLICE_BYTES):
+            yield self._slice(data, bounds, cut_points(data, bounds))
 
     def _joined(self, text: str, cuts: list[int]) -> bytes:
-        out, open_text, begin = [], "", 0
-        for end in cuts:
-            piece, begin = text[begin:end], end
-            chunk = self._chunk(piece)
-            if not open_text:
-                out.append(chunk.ids)
-                open_text = piece[chunk.final:]
-                continue
-            joint, shift = open_text + piece, len(open_text)
-            for m in PRETOKEN.finditer(joint):
-                at = m.start()
-                if at - shift in chunk.starts:  # agreement: the rest is as encoded before
-                    out.append(chunk.ids[chunk.starts[at - shift]:])
-                    open_text = piece[chunk.final:]
-                    break
-                if m.end() == len(joint) or at >= len(joint) - LOOKAHEAD:
-                    open_text = joint[at:]
-                    break
-                out.append(self.words[m.group()])
-            else:
-                open_text = ""
-        out.extend(self.words[w] for w in PRETOKEN.findall(open_text))
-        return b"".join(out)
-
-    def _chunk(self, piece: str) -> Chunk:
-        self.counts["chunks"] += 1
-        known = self.chunks.get(piece)
-        if known is not None:
-            self.counts["reused"] += 1
-            return known
-        words = PRETOKEN.findall(piece)
-        n, final = len(words), len(piece)
-        while n:
-            start = piece.rfind(words[n - 1], 0, final)
-            if start + len(words[n - 1]) < len(piece) and start < len(piece) - LOOKAHEAD:
-                break
-            n, final = n - 1, start
-        encoded = [self.words[w] for w in words[:n]]
-        starts, at = {}, 0
-        for m, ids in zip(islice(PRETOKEN.finditer(piece), min(n, 8)), encoded, strict=False):
-            starts[m.start()] = at
-            at += len(ids)
-        made = Chunk(b"".join(encoded), final, starts)
-        if len(piece) <= LONGEST_KEPT:
-            if len(self.chunks) >= MAX_CHUNKS:
-                for old in list(islice(self.chunks, MAX_CHUNKS // 2)):  # the oldest half goes
-                    del self.chunks[old]
-            self.chunks[piece] = made
-        return made
-
-
-def cut_points(texts: list[str], mean: int = MEAN_CHUNK) -> list[list[int]]:
-    """For each text the ends of its chunks, the last being its length."""
-    if not texts:
-        return []
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
-    # a polynomial over the last ROLL characters, doubled from spans of 1, 2, 4, ...
-    roll, span, base = codes * np.uint32(2654435761), 1, 0x01000193
+        """Ids of one text that is cut behind the given numbers of characters."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        begins = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))[[0, *cuts[:-1]]]
+        return self._slice(data, np.array([0, len(data)]), begins)[0].astype("<i4").tobytes()
+
+    def _slice(self, data: np.ndarray, bounds: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between `bounds` and their bounds in these, from chunks that begin at `begins`."""
+        slots = self.chunks.find(data, begins)
+        self.counts["chunks"] += len(begins)
+        self.counts["reused"] = self.counts["chunks"] - self.chunks.learned
+        places = self.chunks.inner[slots]
+        some = places[:, 1] > 0
+        slots, places = slots[some], places[some] + begins[some, None]
+        # each text is a join, then by turns a chunk and a join
+        texts, n = np.searchsorted(bounds, places[:, 0], "right") - 1, len(bounds) - 1
+        opening = np.arange(n) + np.searchsorted(texts, np.arange(n))
+        behind = texts + np.arange(len(texts)) + 1
+        left, right = np.empty(n + len(texts), np.int64), np.empty(n + len(texts), np.int64)
+        left[opening], left[behind] = bounds[:-1], places[:, 1]
+        right[np.append(opening[1:], n + len(texts)) - 1], right[behind - 1] = bounds[1:], places[:, 0]
+        sizes = right - left
+        units, first = self.units.look_up(runs_of(data, left, right), np.concatenate([[0], np.cumsum(sizes)]))
+        joins = np.concatenate([[0], np.cumsum(self.units.rows.size[units])])[first]
+        kept = np.concatenate([[0], np.cumsum(self.chunks.rows.size[slots])]) + joins[-1]
+        turn = np.zeros(n + 2 * len(texts), bool)
+        turn[texts + 2 * np.arange(len(texts)) + 1] = True
+        begin, size = np.empty(len(turn), np.int64), np.empty(len(turn), np.int64)
+        begin[turn], size[turn], begin[~turn], size[~turn] = kept[:-1], np.diff(kept), joins[:-1], np.diff(joins)
+        ids = np.concatenate([self.units.rows.of(units), self.chunks.rows.of(slots)])[ragged(begin, size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids, ends[np.append(opening + np.searchsorted(texts, np.arange(n)), len(turn))]
+
+
+def cut_points(data: np.ndarray, bounds: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
+    """Where the chunks of the texts between `bounds` begin; always at the begin of a character."""
+    # a polynomial over the last ROLL bytes, doubled from spans of 1, 2, 4, ...
+    roll, span, base = data.astype(np.uint32) * np.uint32(2654435761), 1, 0x01000193
     while span < ROLL:
         longer = roll.copy()
         longer[span:] += roll[:-span] * np.uint32(base)
         roll, span, base = longer, span * 2, base * base % (1 << 32)
-    hits = np.flatnonzero((roll >> np.uint32(7)) % np.uint32(mean) == 0) + 1
-    out, begin = [], 0
-    for text in texts:
-        size, cuts, last = len(text), [], 0
-        lo, hi = np.searchsorted(hits, (begin + 1, begin + size))
-        for cut in (hits[lo:hi] - begin).tolist():
-            # a cut depends on ROLL characters of its own text
-            if cut - last >= LEAST_CHUNK:
-                cuts.append(cut)
-                last = cut
-        out.append([*cuts, size])
-        begin += size
-    return out
+    hits = np.flatnonzero((roll >> np.uint32(7)) & np.uint32(mean - 1) == 0) + 1
+    out = []
+    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if begin == end:
+            continue
+        out.append(begin)
+        lo, hi = np.searchsorted(hits, (begin + 1, end))
+        for cut in [*hits[lo:hi].tolist(), end]:
+            while cut - out[-1] > LONGEST_KEPT:
+                out.append(_character(data, out[-1] + LONGEST_KEPT))
+            # a cut depends on ROLL bytes of its own text
+            if cut < end and cut - out[-1] >= LEAST_CHUNK and _character(data, cut) == cut:
+                out.append(cut)
+    return np.array(out, np.int64)
+
+
+def runs_of(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The bytes of runs that lie in order and do not overlap."""
+    edges = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edges, left, 1)
+    np.add.at(edges, right, -1)
+    return data[np.cumsum(edges[:-1], dtype=np.int8).astype(bool)]
+
+
+def _character(data: np.ndarray, place: int) -> int:
+    """The begin of the character that the byte at `place` belongs to."""
+    while data[place] & 0xC0 == 0x80:
+        place -= 1
+    return place
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -211,14 +196,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def vocabulary_strings(path: str) -> np.ndarray:
-    tokenizer = encoder(path).tokenizer
-    return np.array([tokenizer.id_to_token(i) or "" for i in range(encoder(path).vocabulary)], object)
-
-
-SLICE = 500  # texts that are worked on at a time
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with the token ids of `text` in `out` (array of int).
 
@@ -227,13 +204,11 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def ids_of(column: pa.Array) -> pa.Array:
-        make, parts, sizes = encoder(path), [], [0]
-        for at in range(0, len(column), SLICE):
-            encoded = make.encode(column.slice(at, SLICE).to_pylist())
-            sizes.extend(len(e) // 4 for e in encoded)
-            parts.append(b"".join(encoded))
-        values = np.frombuffer(b"".join(parts), "<i4")
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for ids, ends in encoder(path).slices(column):
+            parts.append(ids)
+            sizes.append(np.diff(ends))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pa.array(np.concatenate(parts)))
 
     return docs.withColumn(out, ids_of(F.coalesce(F.col(text), F.lit(""))))
 
@@ -250,11 +225,16 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         if make.tokenizer.decoder is not None:
             texts = make.tokenizer.decode_batch([x or [] for x in column.to_pylist()], skip_special_tokens=False)
         else:
-            strings = vocabulary_strings(path)
             known = column.fill_null([])
-            values, offsets = known.flatten().to_numpy(zero_copy_only=False), known.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            texts = [" ".join(strings[values[a:b]]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            values, ends = known.values, known.offsets.to_numpy().astype(np.int64)
+            texts, a = [pa.array([], pa.string())], 0
+            while a < len(known):
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE_IDS, "right")) - 1)
+                tokens = make.strings.take(values.slice(ends[a], ends[b] - ends[a]))
+                lists = pa.ListArray.from_arrays(pa.array(ends[a:b + 1] - ends[a], pa.int32()), tokens)
+                texts.append(pc.binary_join(lists, " "))
+                a = b
+            return pa.concat_arrays(texts)
         return pa.array(texts, pa.string())
 
     return docs.withColumn(out, F.when(F.col(ids).isNotNull(), text_of(F.col(ids))))

@@ -129,11 +129,19 @@ class UnitStore:
 
         Slots hold until the next call.
         """
+        starts = self.cut(data, bounds)
+        return self.find(data, starts), np.searchsorted(starts, bounds)
+
+    def cut(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where the units of the texts between `bounds` start."""
+        return unit_starts(data, bounds[:-1][np.diff(bounds) > 0], self.white, self.marks)
+
+    def find(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Slots of the units that start at `starts` and reach to the next one; they hold until the next call."""
         if len(self.slots) > self.max_units or self.held_bytes > MAX_UNIT_BYTES:
             self.older = self.aged()
             self.slots, self.held_bytes = {}, 0
             self.clear()
-        starts = unit_starts(data, bounds[:-1][np.diff(bounds) > 0], self.white, self.marks)
         offsets = np.append(starts, len(data)).astype(np.int64)
         units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
         coded = units.dictionary_encode()
@@ -150,7 +158,7 @@ class UnitStore:
                 self.learn(unknown)
                 self._number(unknown)
         slots = np.fromiter((self.slots[u] for u in distinct), np.int64, len(distinct))
-        return slots[coded.indices.to_numpy()], np.searchsorted(starts, bounds)
+        return slots[coded.indices.to_numpy()]
 
     def _number(self, units: list[str]) -> None:
         self.slots.update(zip(units, range(len(self.slots), len(self.slots) + len(units)), strict=True))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -73,6 +74,26 @@ def test_bounded_store_changes_nothing(library, monkeypatch):
     ]
 
 
+def test_words_beyond_the_store_are_merged_once_a_slice(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 20)
+    rng, made, merged = random.Random(6), bpe.Encoder(PATH), []
+    words = ["".join(rng.choices("abcdefghij", k=8)) for _ in range(60)]
+    text = " ".join(rng.choices(words, k=6000))
+    sys.setprofile(lambda frame, event, arg: merged.append(1) if event == "c_call" and arg.__name__ == "tokenize" else None)
+    try:
+        made.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert 0 < len(merged) <= 3 * len(words)
+
+
+def test_chunks_of_any_characters_are_reused(library):
+    made, shared = bpe.Encoder(PATH), " ".join(f"слово{i % 97} {i} € 日本 e\u0301" for i in range(2000))
+    texts = [f"first {shared}", f"another beginning {shared}"]
+    assert made.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert made.counts["reused"] > 0.4 * made.counts["chunks"]
+
+
 def test_token_files_round_trip(spark, library):
     texts = hard_texts()
     ids = [None, None, *range(len(texts) - 4, -1, -1), 3]
