@@ -4,6 +4,7 @@ The corpus lies in shards that are scanned in a cycle, one per step. Words are c
 phrase becomes active in the step after both its subphrases (without its last and without its first word) have reached
 the threshold, wherever the cycle then stands, and is counted for one full cycle; so lengths are counted side by side
 instead of one scan of the corpus per length. The last scan ends when every active phrase has completed its cycle.
+Texts are cut into words once: a shard holds slices, each with its distinct words and the number of each occurrence.
 
 The counters are cells of a sketch of fixed size: a phrase's cell is a hash of its words and counts at least what the
 phrase does. Tasks add up in arrays and send saturated counts of the cells they touched; the driver keeps one byte of
@@ -20,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import free_name, stage
+from tallymart.llm.common import stage
 from tallymart.llm.units import text_slices
 
 LONGEST, LEAST, TOP, SHARDS, COVERED = 3, 10, 2000, 4, 50
@@ -32,7 +34,14 @@ CELL_BITS, PARTS = 26, 6
 #: At most 2 ** NUMBER_BITS of the most frequent words are broadcast, 8 bytes each.
 NUMBER_BITS = 20
 NEVER = 255
-SLICE = 2 << 20
+#: Bytes of text in a slice, and keys that a task collects before it counts equal ones.
+SLICE, HELD = 2 << 20, 1 << 21
+#: Partitions in which the driver takes the sums of a step, one after the other.
+TURNS = 4
+CODED = pa.schema([
+    ("shard", pa.int32()), ("langs", pa.list_(pa.string())), ("lang", pa.binary()), ("own", pa.binary()),
+    ("times", pa.binary()), ("words", pa.string()), ("numbers", pa.binary()), ("starts", pa.binary()),
+])
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
@@ -48,7 +57,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: `ids` of each occurrence, `piece` it lies in, and the distinct words behind the ids."""
+    """The words of some texts: `ids` of each occurrence, whether a piece starts there, and the distinct words behind the ids."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, langs: list[str], seed: int):
         inside = ~(_BREAK | _GAP)[data]
@@ -65,44 +74,110 @@ class Words:
         word = coded.indices.to_numpy().astype(np.int64)
         doc = np.searchsorted(bounds, at, "right") - 1
         names, lang_of = np.unique(np.array(langs, object).astype(str), return_inverse=True) if langs else ([], word)
-        lang = lang_of[doc]
         # distinct (language, word)
-        key, self.index = np.unique(lang * (len(coded.dictionary) + 1) + word, return_inverse=True)
-        self.lang, self.word = np.divmod(key, len(coded.dictionary) + 1)
+        width = len(coded.dictionary) + 1
+        key = lang_of[doc] * width + word
+        if len(names) * width <= 8 * len(key):
+            distinct = np.flatnonzero(np.bincount(key))
+            place = np.zeros(len(names) * width, np.int64)
+            place[distinct] = np.arange(len(distinct))
+            self.index = place[key]
+        else:
+            distinct, self.index = np.unique(key, return_inverse=True)
+        self.lang, self.word = np.divmod(distinct, width)
         self.langs, self.strings = [str(n) for n in names], coded.dictionary
         hashed = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in coded.dictionary.to_pylist()], np.uint64)
         salted = np.array([xxhash.xxh3_64_intdigest(n.encode(), seed + 1) for n in self.langs], np.uint64)
-        own = _mix(hashed[self.word] + salted[self.lang] * np.uint64(0x9E3779B97F4A7C15)) if len(key) else np.zeros(0, np.uint64)
+        own = _mix(hashed[self.word] + salted[self.lang] * np.uint64(0x9E3779B97F4A7C15)) if len(distinct) else np.zeros(0, np.uint64)
         self.own = np.where(own == 0, np.uint64(1), own)  # 0 stands for no word
         self.ids = self.own[self.index]
         gaps = np.cumsum(_BREAK[data])[at] if len(at) else at
-        new = np.ones(len(at), bool)
-        new[1:] = (gaps[1:] != gaps[:-1]) | (doc[1:] != doc[:-1])
-        self.piece = np.cumsum(new)
+        self.starts = np.ones(len(at), bool)
+        self.starts[1:] = (gaps[1:] != gaps[:-1]) | (doc[1:] != doc[:-1])
+
+    def coded(self, shard: int) -> list:
+        """A row of CODED; frequent words have low numbers, which take less space."""
+        times = np.bincount(self.index, minlength=len(self.own))
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        strings = self.strings.take(pa.array(self.word[order])).to_pylist()
+        return [
+            shard, self.langs, _squeeze(self.lang[order]), self.own[order].tobytes(), _squeeze(times[order]),
+            b" ".join(strings).decode(), _squeeze(number[self.index]), np.packbits(self.starts).tobytes(),
+        ]
+
+
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, byte by byte of their width."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _expand(squeezed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(squeezed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(raw.T).view("<u4").ravel().astype(np.int64)
+
+
+def coded_slices(docs: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The texts of `docs` (columns text and lang) as rows of CODED, dealt over the shards."""
+    schema = "shard int, langs array<string>, lang binary, own binary, times binary, words string, numbers binary, starts binary"
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        for batch in batches:
+            langs, done = batch.column(1).to_pylist(), 0
+            for data, bounds in text_slices(batch.column(0), SLICE):
+                n = len(bounds) - 1
+                row = Words(data, bounds, langs[done:done + n], seed).coded(shard % shards)
+                yield pa.RecordBatch.from_pylist([dict(zip(CODED.names, row, strict=True))], CODED)
+                done, shard = done + n, shard + 1
+
+    return stage(docs.select("text", "lang").mapInArrow(code, schema), "shards", by="shard")
+
 
-    def phrases(self, longest: int, cell_bits: int, marked: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, whether a phrase of it starts at each word, its cell): shorter lengths first.
+def _cells(hashed: np.ndarray, cell_bits: int) -> np.ndarray:
+    return (_mix(hashed) >> np.uint64(64 - cell_bits + 1)).astype(np.int32)
 
-        The longest phrases have cells of their own, if `marked`.
+
+class Slice:
+    """A coded slice: `own` ids of its distinct words, `ids` of all occurrences, `starts` of pieces."""
+
+    def __init__(self, own: bytes, numbers: bytes, starts: bytes):
+        self.own, self.index = np.frombuffer(own, np.uint64), _expand(numbers)
+        self.ids = self.own[self.index]
+        self.starts = np.unpackbits(np.frombuffer(starts, np.uint8), count=len(self.ids)).astype(bool)
+
+    def phrases(self, levels: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, places, cells, step at which the last part was reached) of phrases whose shorter parts all were.
+
+        Two words come first. The longest phrases have cells of their own.
         """
-        n, hashed = len(self.ids), self.ids
-        for length in range(1, longest + 1):
-            size = max(n - length + 1, 0)
-            if length > 1:
-                hashed = _mix(hashed[:size] * np.uint64(0xD6E8FEB86659FD93) + self.ids[length - 1:length - 1 + size])
-            cell = (_mix(hashed) >> np.uint64(64 - cell_bits + 1)).astype(np.int64)
-            if length == longest and marked:
-                cell |= 1 << (cell_bits - 1)
-            yield length, self.piece[:size] == self.piece[length - 1:length - 1 + size], cell
-
-
-def _words_of(batch: pa.RecordBatch, seed: int) -> Iterator[Words]:
-    """Words of a batch with columns text and lang."""
-    langs, done = batch.column(1).to_pylist(), 0
-    for data, bounds in text_slices(batch.column(0), SLICE):
-        n = len(bounds) - 1
-        yield Words(data, bounds, langs[done:done + n], seed)
-        done += n
+        cell_bits = levels.size.bit_length() - 1
+        reached = levels[_cells(self.own, cell_bits)][self.index]
+        at, hashed = np.flatnonzero(reached != NEVER), self.ids
+        reached, hashed = reached[at], hashed[at]
+        for length in range(2, longest + 1):
+            both = at[1:] == at[:-1] + 1
+            if length == 2:
+                both &= ~self.starts[at[1:]]
+            left = np.flatnonzero(both)
+            since = np.maximum(reached[left], reached[left + 1])
+            at = at[left]
+            hashed = _mix(hashed[left] * np.uint64(0xD6E8FEB86659FD93) + self.ids[at + length - 1])
+            cell = _cells(hashed, cell_bits)
+            if length == longest:
+                cell |= np.int32(1 << (cell_bits - 1))
+            yield length, at, cell, since
+            if length < longest:
+                reached = np.maximum(levels[cell], since)
+                known = np.flatnonzero(reached != NEVER)
+                at, hashed, reached = at[known], hashed[known], reached[known]
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[Slice]:
+    """Slices of a batch with columns own, numbers and starts."""
+    for own, numbers, starts in zip(*batch.columns, strict=True):
+        yield Slice(own.as_py(), numbers.as_py(), starts.as_py())
 
 
 def _pack(cells: np.ndarray, counts: np.ndarray) -> bytes:
@@ -141,25 +216,25 @@ class _Shared:
         return {"packed": self.packed, "size": self.size, "id": self.id}
 
 
-def _scan(shard: DataFrame, shared: _Shared, step: int, shards: int, longest: int, least: int, seed: int) -> DataFrame:
+def _scan(shard: DataFrame, shared: _Shared, step: int, shards: int, longest: int, least: int) -> DataFrame:
     """Saturated counts of the cells of phrases that are active in this step, by part of the sketch."""
     cell_bits = shared.size.bit_length() - 1
     part_bits = cell_bits - PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, counts = _levels(shared), np.zeros(shared.size, np.uint8)
+
+        def more(cells: np.ndarray) -> None:
+            cells, n = np.unique(cells, return_counts=True)
+            counts[cells] = np.minimum(counts[cells] + n, least)
+
         for batch in batches:
-            for words in _words_of(batch, seed):
-                shorter = None
-                for length, whole, cell in words.phrases(longest, cell_bits):
-                    if length == 1:
-                        active = np.full(len(cell), step < shards)
-                    else:  # from the step after both were reached, for one cycle
-                        reached = np.maximum(shorter[:len(cell)], shorter[1:len(cell) + 1]).astype(np.int64)
-                        active = whole & (reached < step) & (step <= reached + shards)
-                    shorter = levels[cell]
-                    cells, n = np.unique(cell[active], return_counts=True)
-                    counts[cells] = np.minimum(counts[cells] + n, least)
+            for words in _slices(batch):
+                if step < shards:
+                    more(np.repeat(_cells(words.own, cell_bits), np.minimum(np.bincount(words.index, minlength=len(words.own)), least)))
+                for _, _, cell, since in words.phrases(levels, longest):
+                    # from the step after all parts were reached, for one cycle
+                    more(cell[(since < step) & (since.astype(np.int16) + shards >= step)])
         cells = np.flatnonzero(counts)
         for part in np.unique(cells >> part_bits).tolist():
             lo, hi = np.searchsorted(cells, (part << part_bits, (part + 1) << part_bits))
@@ -175,18 +250,20 @@ def _scan(shard: DataFrame, shared: _Shared, step: int, shards: int, longest: in
         return pa.table({"part": rows.column("part").slice(0, 1), "packed": pa.array([_pack(cells, total[cells])], pa.binary())})
 
     schema = "part int, packed binary"
-    return shard.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
+    return shard.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).coalesce(1 << PARTS)
 
 
-def reached_cells(texts: DataFrame, shards: int, longest: int, least: int, seed: int, cell_bits: int = CELL_BITS) -> np.ndarray:
-    """For each cell the step at which its count reached `least`, or NEVER. `texts` has a column `shard`."""
+def reached_cells(texts: DataFrame, shards: int, longest: int, least: int, cell_bits: int = CELL_BITS) -> np.ndarray:
+    """For each cell the step at which its count reached `least`, or NEVER. `texts` are coded slices."""
     spark = texts.sparkSession
     counts, levels = np.zeros(1 << cell_bits, np.uint8), np.full(1 << cell_bits, NEVER, np.uint8)
     step, last = 0, 0  # the last step at which a phrase that is part of longer ones reached the threshold
     while step < shards or (step <= last + shards and step < shards * longest):
         shared = _Shared(spark, levels, step)
-        shard = texts.where(F.col("shard") == step % shards).select("text", "lang")
-        for row in _scan(shard, shared, step, shards, longest, least, seed).toLocalIterator():
+        shard = texts.where(F.col("shard") == step % shards).select("own", "numbers", "starts")
+        # an iterator runs a job for each partition, and does work above it again: sums are stored and come in few
+        sums = stage(_scan(shard, shared, step, shards, longest, least), "cells")
+        for row in sums.coalesce(TURNS).toLocalIterator():
             cells, n = _unpack(bytes(row["packed"]))
             cells += row["part"] << (cell_bits - PARTS)
             counts[cells] = total = np.minimum(counts[cells].astype(np.int64) + n, least)
@@ -205,26 +282,35 @@ def count_words(texts: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     types, names = (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()), ["size", "k0", "lang", "word", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = _levels(shared)
+        levels, held, n_held = _levels(shared), [], 0
         for batch in batches:
-            for words in _words_of(batch, seed):
-                times = np.bincount(words.index, minlength=len(words.own))
-                totals = np.bincount(words.lang, weights=times, minlength=len(words.langs)).astype(np.int64)
-                _, _, cell = next(words.phrases(1, shared.size.bit_length() - 1, False))
-                often = np.unique(words.index[levels[cell] != NEVER])
-                strings = words.strings.take(pa.array(words.word[often])).cast(pa.large_string()).to_pylist()
-                langs = [words.langs[i] for i in words.lang[often].tolist()]
+            for langs, lang, own, times, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, lang, times = np.frombuffer(own, np.int64), _expand(lang), _expand(times)
+                totals = np.bincount(lang, weights=times, minlength=len(langs)).astype(np.int64)
+                often = np.flatnonzero(levels[_cells(own.view(np.uint64), shared.size.bit_length() - 1)] != NEVER)
+                strings = pa.array(words.split(" ") if words else [], pa.string()).take(pa.array(often))
+                named = pa.array(langs, pa.string())
                 for columns in (
-                    [np.zeros(len(totals)), np.zeros(len(totals)), words.langs, [None] * len(totals), totals],
-                    [np.ones(len(often)), words.own[often].view(np.int64), langs, strings, times[often]],
+                    [np.zeros(len(totals)), np.zeros(len(totals)), named, pa.nulls(len(totals)), totals],
+                    [np.ones(len(often)), own[often], named.take(pa.array(lang[often])), strings, times[often]],
                 ):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    counted = texts.select("text", "lang").mapInArrow(count, "size int, k0 long, lang string, word string, n long")
+                    held.append(pa.table([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names))
+                n_held += len(often)
+                if n_held >= HELD:
+                    yield from merged(held)
+                    held, n_held = [], 0
+        yield from merged(held)
+
+    def merged(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if held:
+            together = pa.concat_tables(held).group_by(names[:-1], use_threads=False).aggregate([("n", "sum")])
+            yield from together.rename_columns(names).to_batches()
+
+    counted = texts.select("langs", "lang", "own", "times", "words").mapInArrow(count, "size int, k0 long, lang string, word string, n long")
     return stage(counted.groupBy("size", "k0", "lang", "word").agg(F.sum("n").alias("n")), "words")
 
 
-def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longest: int, least: int, seed: int) -> DataFrame:
+def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longest: int, least: int) -> DataFrame:
     """Exact counts of `least` or more of phrases of two words or more: `size`, `k0`... (0 beyond `size`) and `n`.
 
     The most frequent words, at most 2 ** NUMBER_BITS, get numbers; that list has a fixed bound and is broadcast. A
@@ -245,29 +331,37 @@ def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, numbered = _levels(shared), known.value
+        held, n_held = [], 0
         for batch in batches:
-            for words in _words_of(batch, seed):
+            for words in _slices(batch):
                 own = words.own.view(np.int64)
                 place = np.searchsorted(numbered, own)
                 place[place == len(numbered)] = 0
                 number = np.where(numbered[place] == own, place + 1, 0) if len(numbered) else np.zeros(len(own), np.int64)
                 number, ids = number[words.index], words.ids.view(np.int64)
-                for length, whole, cell in words.phrases(longest, shared.size.bit_length() - 1):
-                    if length == 1:
-                        continue
-                    at = np.flatnonzero(whole & (levels[cell] != NEVER))
+                for length, at, cell, _ in words.phrases(levels, longest):
+                    at = at[levels[cell] != NEVER]
                     parts = [number[at + i] for i in range(length)]
                     plain = np.logical_and.reduce([p > 0 for p in parts])
                     key = np.zeros(int(plain.sum()), np.int64)
                     for i in range(longest):
                         key = (key << bits) | (parts[i][plain] if i < length else 0)
-                    key, n = np.unique(key, return_counts=True)
-                    yield row(key.reshape(-1, 1), n)
+                    held.append(key)
+                    n_held += len(key)
                     if not plain.all():
                         rare = at[~plain]
                         table = pa.table({k: ids[rare + i] for i, k in enumerate(keys[:length])})
                         found = table.group_by(keys[:length], use_threads=False).aggregate([([], "count_all")])
                         yield row(np.stack([found.column(k).to_numpy() for k in keys[:length]], 1), found.column("count_all").to_numpy())
+                if n_held >= HELD:
+                    yield plain_rows(held)
+                    held, n_held = [], 0
+        if held:
+            yield plain_rows(held)
+
+    def plain_rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return row(key.reshape(-1, 1), n)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbered = np.concatenate([[0], known.value])
@@ -284,7 +378,7 @@ def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longes
             size = (ids != 0).sum(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(size), *[pa.array(ids[:, i]) for i in range(longest)], batch.column(1)], ["size", *keys, "n"])
 
-    counted = texts.select("text", "lang").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = texts.select("own", "numbers", "starts").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
     schema = ", ".join(["size int", *[f"{k} long" for k in keys], "n long"])
     return stage(counted.where(F.col("n") >= least).mapInArrow(read, schema), "phrases", by="size")
 
@@ -344,17 +438,13 @@ def mine_phrases(
     """
     if not 2 <= longest or longest * shards >= NEVER:
         raise ValueError("longest is 2 or more, and longest * shards below 255")
-    number = free_name(docs, "_number")
-    dealt = docs.withColumn(number, F.monotonically_increasing_id()).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"),
-        (F.col(number) % shards).cast("int").alias("shard"),
-    )
-    texts = stage(dealt, "shards", by="shard")
-    levels = reached_cells(texts, shards, longest, least, seed, cell_bits)
+    known = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
+    texts = coded_slices(known, shards, seed)
+    levels = reached_cells(texts, shards, longest, least, cell_bits)
     words = count_words(texts, levels, seed)
     if not words.where("size = 1").groupBy("k0").agg(F.count(F.lit(1)).alias("words")).where("words > 1").isEmpty():
         return mine_phrases(docs, text, lang, longest, least, top, covered, shards, seed + 2, cell_bits)
-    counted = count_phrases(texts, words, levels, longest, least, seed)
+    counted = count_phrases(texts, words, levels, longest, least)
     totals = words.where("size = 0").select("lang", "n")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = candidates(counted, words, longest, covered).withColumn("rank", F.row_number().over(best).cast("long"))

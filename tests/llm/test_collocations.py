@@ -114,6 +114,40 @@ def test_words_without_a_number(spark, monkeypatch):
     assert mined(spark.createDataFrame(rows, "text string, lang string"), least=4) == plain_phrases(rows, 3, 4, 2000, 50)
 
 
+def test_jobs_do_not_grow_with_shuffle_partitions(spark):
+    def jobs(partitions: int) -> int:
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            first = max(spark.sparkContext.statusTracker().getJobIdsForGroup(), default=-1)
+            assert mined(docs, shards=1, longest=2) == expected
+            return max(spark.sparkContext.statusTracker().getJobIdsForGroup()) - first
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    rows = [("new york times", "en")] * 12
+    docs, expected = spark.createDataFrame(rows, "text string, lang string"), plain_phrases(rows, 2, 10, 2000, 50)
+    assert abs(jobs(40) - jobs(4)) < 10
+
+
+def test_many_languages_in_one_slice(spark):
+    rows = [(f"word{i} of{i} its own here", f"lang{i}") for i in range(300) for _ in range(2)]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert mined(docs, least=2, shards=2) == plain_phrases(rows, 3, 2, 2000, 50)
+
+
+def test_slices_keep_words_and_pieces():
+    text = "New york, new Times.a".encode()
+    data, bounds = np.frombuffer(text + b"b", np.uint8), np.array([0, len(text), len(text) + 1])
+    words = collocations.Words(data, bounds, ["en", "de"], 0)
+    row = dict(zip(collocations.CODED.names, words.coded(0), strict=True))
+    cut = collocations.Slice(row["own"], row["numbers"], row["starts"])
+    assert cut.ids.tolist() == words.ids.tolist() and cut.starts.tolist() == [True, False, True, False, True, True]
+    assert row["words"].split(" ")[0] == "new" and sorted(row["words"].split(" ")) == ["a", "b", "new", "times", "york"]
+
+
 def test_scores_beyond_64_bits(spark):
     words = spark.createDataFrame(
         [(1, 1, "en", "x", 4_000_000_000_007), (1, 2, "en", "y", 4_000_000_000_009)],
