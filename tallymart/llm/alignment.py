@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm.common import stage
-from tallymart.llm.units import Rows, TokenStore, UnitStore, ragged, text_slices, token_bytes
+from tallymart.llm.units import Rows, TokenStore, UnitStore, ragged, release_memory, text_slices, token_bytes
 
 #: A block has at most so many documents (numbers take 16 bits) and bytes of text, a longer text alone.
 BLOCK_DOCS, BLOCK_BYTES = 1 << 15, 4 << 20
@@ -106,6 +106,10 @@ class AlignedUnits(UnitStore):
             [self.blank] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, found, strict=True)
         ]
 
+    def forget(self) -> None:
+        super().forget()
+        self.a.forget()
+
     def learn(self, units: list[str]) -> None:
         found = list(self.a.encode(pa.array(units, pa.string())))
         ids_a = np.concatenate([i for i, _ in found])
@@ -318,6 +322,10 @@ def index(
                         schema=schema,
                     )
                 block, done = block + 1, done + len(bounds) - 1
+                release_memory()
+        # the worker lives on beside the next stages' sorts
+        units.forget()
+        release_memory()
 
     # an empty text stays empty: it has no tokens
     spaced = F.when(F.octet_length(text) > 0, F.concat(F.lit(" "), F.col(text)))

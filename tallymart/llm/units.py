@@ -9,6 +9,7 @@ library.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import string
@@ -75,6 +76,13 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, size) + np.arange(total)
 
 
+def release_memory() -> None:
+    """Give back what Arrow's pool and the C library keep of freed memory; a worker otherwise holds it to its end."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class Rows:
     """Runs of integers back to back, with the place of each run; grows by whole lists."""
 
@@ -112,6 +120,11 @@ class UnitStore:
     def clear(self) -> None:
         """Empty what is kept for each slot."""
 
+    def forget(self) -> None:
+        """Drop all that is known of units."""
+        self.older, self.slots, self.held_bytes = None, {}, 0
+        self.clear()
+
     def aged(self) -> UnitStore:
         """A store with the present contents, to carry from."""
         raise NotImplementedError

@@ -139,3 +139,30 @@ def test_bitmaps_round_trip():
         for i, r in enumerate(runs):
             want[r] += [1, i + 1]
         assert (alignment.add_scores(packed, np.array(scores), n) == want).all()
+
+
+def test_workers_keep_no_units_after_the_index(spark):
+    # the workers live on beside the sorts of later stages, whose memory they would take
+    import pyarrow as pa
+
+    def held(batches):
+        for _ in batches:
+            stores = [s for u in alignment._ALIGNED.values() for s in (u, u.a)]
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(s.slots) + len(s.older.slots if s.older else ()) for s in stores)]})
+
+    docs = spark.createDataFrame([(i, f"one two three w{i} v{i}") for i in range(64)], "doc_id long, text string")
+    assert alignment.index(docs.repartition(8), A, B).where("kind = 'document' AND n_links > 0").count() == 64
+    assert spark.range(0, 64, 1, 32).mapInArrow(held, "n long").where("n > 0").count() == 0
+
+
+def test_forgotten_units_are_learnt_again():
+    import numpy as np
+
+    store, data = alignment.AlignedUnits(A, B), np.frombuffer(b" one two one", np.uint8)
+    found = []
+    for _ in range(2):
+        slots, _ = store.look_up(data, np.array([0, len(data)]))
+        found.append((slots.tolist(), store.numbers.tolist(), store.pairs.of(slots).tolist()))
+        store.forget()
+        assert not store.slots and not store.a.slots and len(store.numbers) == 0
+    assert found[0] == found[1]
