@@ -31,6 +31,8 @@ from tallymart.llm.units import text_slices
 LONGEST, LEAST, TOP, SHARDS, COVERED = 3, 10, 2000, 4, 50
 #: The sketch has 2 ** CELL_BITS cells, half of them for the longest phrases; its 2 ** PARTS parts travel as one row each.
 CELL_BITS, PARTS = 26, 6
+#: Partial counts of phrases travel in 2 ** KEY_PARTS parts by a hash of their keys.
+KEY_PARTS = 10
 #: At most 2 ** NUMBER_BITS of the most frequent words are broadcast, 8 bytes each.
 NUMBER_BITS = 20
 NEVER = 255
@@ -310,28 +312,61 @@ def count_words(texts: DataFrame, levels: np.ndarray, seed: int) -> DataFrame:
     return stage(counted.groupBy("size", "k0", "lang", "word").agg(F.sum("n").alias("n")), "words")
 
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of `keys`, in order, and the sums of `n` over equal ones."""
+    order = np.lexsort(keys.T[::-1])
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))[:len(keys)])
+    return keys[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def _partial_rows(keys: np.ndarray, n: np.ndarray, part_bits: int, first_part: int = 0) -> pa.RecordBatch:
+    """Counts of distinct, ordered keys (rows of 64-bit numbers) as one packed row for each of 2 ** part_bits parts."""
+    hashed = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        hashed = _mix(hashed * np.uint64(0xD6E8FEB86659FD93) + column.astype(np.uint64))
+    part = (hashed >> np.uint64(64 - part_bits)).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
+    keys, n = keys[order], n[order]
+    sizes = np.bincount(part, minlength=1 << part_bits)
+    ends, parts = np.cumsum(sizes), np.flatnonzero(sizes)
+    packed = [_pack_counts(keys[b - m:b], n[b - m:b]) for b, m in zip(ends[parts].tolist(), sizes[parts].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array((parts + first_part).astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
+def _pack_counts(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Keys, single ones as the steps between them, and counts below 2 ** 32, byte by byte of their width."""
+    steps = np.diff(keys, axis=0, prepend=0) if keys.shape[1] == 1 else keys
+    return b"".join(
+        np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in (steps.astype("<i8"), n.astype("<u4"))
+    )
+
+
+def _unpack_counts(packed: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(packed, np.uint8).reshape(8 * width + 4, -1)
+    keys = np.ascontiguousarray(raw[:8 * width].T).view("<i8")
+    n = np.ascontiguousarray(raw[8 * width:].T).view("<u4").ravel().astype(np.int64)
+    return (np.cumsum(keys, axis=0) if width == 1 else keys), n
+
+
 def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longest: int, least: int) -> DataFrame:
     """Exact counts of `least` or more of phrases of two words or more: `size`, `k0`... (0 beyond `size`) and `n`.
 
     The most frequent words, at most 2 ** NUMBER_BITS, get numbers; that list has a fixed bound and is broadcast. A
-    phrase of numbered words travels as one 64-bit key, any other as the ids of its words.
+    phrase of numbered words travels as one 64-bit key, any other as the ids of its words. Partial counts travel packed,
+    a row for each task and part of the keys.
     """
     spark, keys = texts.sparkSession, [f"k{i}" for i in range(longest)]
     shared = _Shared(spark, levels, -2)
-    bits = min(NUMBER_BITS, 60 // longest)
+    bits, part_bits = min(NUMBER_BITS, 60 // longest), KEY_PARTS
     top = words.where((F.col("size") == 1) & (F.col("n") >= least)).groupBy("k0").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "k0").limit((1 << bits) - 1)
     numbered = np.sort(np.array([r["k0"] for r in top.select("k0").toLocalIterator()], np.int64))
     known = spark.sparkContext.broadcast(numbered)
 
-    def row(keys_: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        bounds = np.arange(len(keys_) + 1, dtype=np.int32) * (keys_.itemsize * keys_.shape[1])
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(keys_), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(keys_))])
-        return pa.RecordBatch.from_arrays([packed, pa.array(n, pa.int64())], ["key", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, numbered = _levels(shared), known.value
-        held, n_held = [], 0
+        held, wide, n_held = [], [], 0
         for batch in batches:
             for words in _slices(batch):
                 own = words.own.view(np.int64)
@@ -347,40 +382,40 @@ def count_phrases(texts: DataFrame, words: DataFrame, levels: np.ndarray, longes
                     for i in range(longest):
                         key = (key << bits) | (parts[i][plain] if i < length else 0)
                     held.append(key)
-                    n_held += len(key)
-                    if not plain.all():
-                        rare = at[~plain]
-                        table = pa.table({k: ids[rare + i] for i, k in enumerate(keys[:length])})
-                        found = table.group_by(keys[:length], use_threads=False).aggregate([([], "count_all")])
-                        yield row(np.stack([found.column(k).to_numpy() for k in keys[:length]], 1), found.column("count_all").to_numpy())
+                    rare = at[~plain]
+                    if len(rare):
+                        ids_of = np.zeros((len(rare), longest), np.int64)
+                        for i in range(length):
+                            ids_of[:, i] = ids[rare + i]
+                        wide.append(ids_of)
+                    n_held += len(at)
                 if n_held >= HELD:
-                    yield plain_rows(held)
-                    held, n_held = [], 0
-        if held:
-            yield plain_rows(held)
+                    yield from partial(held, wide)
+                    held, wide, n_held = [], [], 0
+        yield from partial(held, wide)
 
-    def plain_rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        return row(key.reshape(-1, 1), n)
+    def partial(held: list[np.ndarray], wide: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if held:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            yield _partial_rows(key.reshape(-1, 1), n, part_bits)
+        if wide:
+            key = np.concatenate(wide)
+            yield _partial_rows(*_summed(key, np.ones(len(key), np.int64)), part_bits, 1 << part_bits)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbered = np.concatenate([[0], known.value])
-        for batch in batches:
-            taken = [k.as_py() for k in batch.column(0)]
-            wide = np.array([len(k) // 8 for k in taken], np.int64)
-            ids = np.zeros((len(taken), longest), np.int64)
-            at = np.flatnonzero(wide == 1)
-            key = np.frombuffer(b"".join(taken[i] for i in at), np.int64)
-            for i in range(longest):
-                ids[at, i] = numbered[key >> (bits * (longest - 1 - i)) & ((1 << bits) - 1)]
-            for i in np.flatnonzero(wide > 1):
-                ids[i, :wide[i]] = np.frombuffer(taken[i], np.int64)
-            size = (ids != 0).sum(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(size), *[pa.array(ids[:, i]) for i in range(longest)], batch.column(1)], ["size", *keys, "n"])
-
-    counted = texts.select("own", "numbers", "starts").mapInArrow(count, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    def add(rows: pa.Table) -> pa.Table:
+        plain = rows.column("part")[0].as_py() < 1 << part_bits
+        taken = [_unpack_counts(p.as_py(), 1 if plain else longest) for p in rows.column("packed")]
+        key, n = _summed(np.concatenate([k for k, _ in taken]), np.concatenate([m for _, m in taken]))
+        key, n = key[n >= least], n[n >= least]
+        if plain:
+            numbered = np.concatenate([[0], known.value])
+            key = np.stack([numbered[key[:, 0] >> (bits * (longest - 1 - i)) & ((1 << bits) - 1)] for i in range(longest)], 1)
+        size = (key != 0).sum(axis=1).astype(np.int32)
+        return pa.table([pa.array(size), *[pa.array(key[:, i]) for i in range(longest)], pa.array(n)], ["size", *keys, "n"])
+
+    counted = texts.select("own", "numbers", "starts").mapInArrow(count, "part int, packed binary")
     schema = ", ".join(["size int", *[f"{k} long" for k in keys], "n long"])
-    return stage(counted.where(F.col("n") >= least).mapInArrow(read, schema), "phrases", by="size")
+    return stage(counted.groupBy("part").applyInArrow(add, schema), "phrases", by="size")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

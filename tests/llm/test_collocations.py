@@ -157,3 +157,41 @@ def test_scores_beyond_64_bits(spark):
     row = collocations.candidates(counted, words, 2, 50).first()
     a, left, right = 3_999_999_999_999, 4_000_000_000_007, 4_000_000_000_009
     assert (row["a"], row["l"], row["r"], row["score"]) == (a, left, right, 1_000_000 * a * a // (left * right))
+
+
+@pytest.mark.parametrize("bits", [20, 4])
+def test_partial_counts_travel_by_part(spark, bits, monkeypatch):
+    # a row for each task and part of the keys, not for each task and phrase; the counts are all there
+    monkeypatch.setattr(collocations, "NUMBER_BITS", bits)
+    monkeypatch.setattr(collocations, "KEY_PARTS", 2)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(" ".join(rng.choices(words, k=200)), "en") for _ in range(150)]
+    texts = collocations.coded_slices(spark.createDataFrame(rows, "text string, lang string").repartition(3), 2, 0)
+    levels = collocations.reached_cells(texts, 2, 3, 3)
+    named = collocations.count_words(texts, levels, 0).cache()
+    made, original = [], type(texts).mapInArrow
+    monkeypatch.setattr(type(texts), "mapInArrow", lambda self, f, schema, *a: made.append(original(self, f, schema, *a)) or made[-1])
+    counted = collocations.count_phrases(texts, named, levels, 3, 3)
+    word_of = {r["k0"]: r["word"] for r in named.where("size = 1").collect()}
+    got = {tuple(word_of[r[f"k{i}"]] for i in range(r["size"])): r["n"] for r in counted.collect()}
+    want = Counter()
+    for text, _ in rows:
+        own = text.split(" ")
+        want.update(tuple(own[i:i + j]) for j in (2, 3) for i in range(len(own) - j + 1))
+    assert got == {p: n for p, n in want.items() if n >= 3} and len(got) > 3000
+    assert made[0].count() <= 2 * 4 * texts.rdd.getNumPartitions()
+
+
+def test_partial_counts_round_trip():
+    rng = np.random.default_rng(1)
+    for width in (1, 3):
+        keys = rng.integers(-(1 << 63), (1 << 63) - 1, (5000, width))[rng.integers(0, 5000, 9000)]
+        if width == 1:
+            keys = np.abs(keys >> 4)
+        distinct, n = collocations._summed(keys, np.ones(len(keys), np.int64))
+        batch = collocations._partial_rows(distinct, n, 10, 7)
+        assert 7 <= min(batch.column(0).to_pylist()) and batch.num_rows == len(set(batch.column(0).to_pylist()))
+        taken = [collocations._unpack_counts(p.as_py(), width) for p in batch.column(1)]
+        back = Counter({tuple(k): m for ks, ms in taken for k, m in zip(ks.tolist(), ms.tolist(), strict=True)})
+        assert back == Counter(map(tuple, keys.tolist()))
